@@ -1,0 +1 @@
+"""Intentionally empty: every table and analysis covered here is a batch one."""
