@@ -1,4 +1,9 @@
-"""The named analyses: each takes contract-shaped DataFrames and returns a lazy DataFrame."""
+"""The named analyses: each takes contract-shaped DataFrames and returns a lazy DataFrame.
+
+Sorted lists end their sort keys with the row's own key. Ties then have a fixed order, and
+the range partitioning behind the sort can cut through a value that many rows share (empty
+shelves, say), which it could not with the value as the only key.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +30,8 @@ PAIR = ["product_sku", "warehouse_id"]
 def below_reorder(inventory: DataFrame) -> DataFrame:
     """Latest stock at or below its reorder point, emptiest first in relation to that point."""
     low = at_latest(inventory).where(below_reorder_point())
-    return low.orderBy(safe_div(F.col("quantity_on_hand"), F.col("reorder_point"))).select(
+    ratio = safe_div(F.col("quantity_on_hand"), F.col("reorder_point"))
+    return low.orderBy(ratio, *PAIR).select(
         "product_sku",
         "product_name",
         "warehouse_id",
@@ -47,7 +53,7 @@ def below_reorder_brief(inventory: DataFrame) -> DataFrame:
         "warehouse_name",
         "quantity_on_hand",
         "reorder_point",
-    ).orderBy("quantity_on_hand")
+    ).orderBy("quantity_on_hand", *PAIR)
 
 
 def reorder_by_lead_time(inventory: DataFrame) -> DataFrame:
@@ -60,7 +66,9 @@ def reorder_by_lead_time(inventory: DataFrame) -> DataFrame:
         "quantity_on_hand",
         "reorder_point",
         "lead_time_days",
-    ).orderBy(F.desc("lead_time_days"), F.asc("quantity_on_hand"))
+    ).orderBy(
+        F.desc("lead_time_days"), F.asc("quantity_on_hand"), "product_sku", "warehouse_name"
+    )
 
 
 def inventory_value_by_warehouse(inventory: DataFrame) -> DataFrame:
@@ -217,5 +225,5 @@ def stockout_risk(inventory: DataFrame, shipments: DataFrame) -> DataFrame:
             "lead_time_days",
             "days_of_supply",
         )
-        .orderBy("days_of_supply", "product_sku", "warehouse_id")
+        .orderBy("days_of_supply", *PAIR)
     )
