@@ -366,20 +366,42 @@ _BRIEF = (
     "reorder_point FROM latest WHERE quantity_on_hand <= reorder_point"
 )
 
+_LEAD = (
+    "SELECT product_sku, product_name, warehouse_name, quantity_on_hand, reorder_point, "
+    "lead_time_days FROM latest WHERE quantity_on_hand <= reorder_point"
+)
+_VALUE = (
+    "SELECT warehouse_id, warehouse_name, "
+    "round(sum(quantity_on_hand * unit_cost), 2)::DECIMAL(38,2) AS total_value "
+    "FROM latest GROUP BY 1, 2"
+)
+_ACCURACY = (
+    "SELECT product_category, round(avg(100 - forecast_error_pct), 1) AS accuracy_pct "
+    "FROM forecasts GROUP BY 1"
+)
+_FILL = (
+    "SELECT product_category, "
+    "count(DISTINCT CASE WHEN order_status = 'Delivered' THEN order_id END)::DOUBLE * 100 "
+    "/ nullif(count(DISTINCT order_id), 0) AS fill_rate "
+    "FROM shipments GROUP BY product_category"
+)
+_REVENUE = (
+    "SELECT destination_region, (sum(quantity * unit_price) "
+    "FILTER (WHERE order_status = 'Delivered'))::DECIMAL(38,2) AS total_revenue "
+    "FROM shipments GROUP BY destination_region"
+)
+
+
+def _checks(*differences: str) -> str:
+    ctes = ", ".join([SHIPMENTS_CTE, INVENTORY_CTE, FORECASTS_CTE])
+    return f"WITH {ctes}\n" + "\nUNION ALL\n".join(differences)
+
+
 _shipment_types = {f.name: f.type for f in SHIPMENTS.fields}
 
 ORACLES: dict[str, str] = {
-    "fill_rate_by_category": _on_shipments(
-        "SELECT product_category, "
-        "count(DISTINCT CASE WHEN order_status = 'Delivered' THEN order_id END)::DOUBLE * 100 "
-        "/ nullif(count(DISTINCT order_id), 0) AS fill_rate "
-        "FROM shipments GROUP BY product_category"
-    ),
-    "revenue_by_region": _on_shipments(
-        "SELECT destination_region, (sum(quantity * unit_price) "
-        "FILTER (WHERE order_status = 'Delivered'))::DECIMAL(38,2) AS total_revenue "
-        "FROM shipments GROUP BY destination_region"
-    ),
+    "fill_rate_by_category": _on_shipments(_FILL),
+    "revenue_by_region": _on_shipments(_REVENUE),
     "shipment_metrics_by_month": _on_shipments(
         "SELECT date_trunc('month', order_date)::DATE AS order_month, "
         f"{SHIPMENT_MEASURES}\nFROM shipments GROUP BY 1"
@@ -437,10 +459,7 @@ ORACLES: dict[str, str] = {
         "FROM latest WHERE quantity_on_hand <= reorder_point"
     ),
     "below_reorder_brief": _on_inventory(_BRIEF),
-    "reorder_by_lead_time": _on_inventory(
-        "SELECT product_sku, product_name, warehouse_name, quantity_on_hand, reorder_point, "
-        "lead_time_days FROM latest WHERE quantity_on_hand <= reorder_point"
-    ),
+    "reorder_by_lead_time": _on_inventory(_LEAD),
     "stock_status_counts": _on_inventory(
         "SELECT snapshot_date, "
         "CASE WHEN quantity_on_hand < safety_stock_qty THEN 'CRITICAL' "
@@ -454,11 +473,7 @@ ORACLES: dict[str, str] = {
         "count(*) FILTER (WHERE quantity_on_hand < safety_stock_qty) AS critical_rows "
         "FROM inventory GROUP BY 1, 2, 3"
     ),
-    "inventory_value_by_warehouse": _on_inventory(
-        "SELECT warehouse_id, warehouse_name, "
-        "round(sum(quantity_on_hand * unit_cost), 2)::DECIMAL(38,2) AS total_value "
-        "FROM latest GROUP BY 1, 2"
-    ),
+    "inventory_value_by_warehouse": _on_inventory(_VALUE),
     "days_of_supply_by_category": _on_supply(
         "SELECT product_category, round(avg(days_of_supply), 1) AS avg_days_of_supply "
         "FROM supply GROUP BY 1"
@@ -473,10 +488,7 @@ ORACLES: dict[str, str] = {
         "round(avg(forecast_error_pct), 1) AS avg_error_pct, count(*) AS num_forecasts "
         "FROM forecasts GROUP BY 1"
     ),
-    "forecast_accuracy_brief": _on_forecasts(
-        "SELECT product_category, round(avg(100 - forecast_error_pct), 1) AS accuracy_pct "
-        "FROM forecasts GROUP BY 1"
-    ),
+    "forecast_accuracy_brief": _on_forecasts(_ACCURACY),
     "forecast_metrics_by_model": _on_forecasts(
         f"SELECT model_version, {FORECAST_MEASURES}\nFROM forecasts GROUP BY 1"
     ),
@@ -514,14 +526,18 @@ ORACLES: dict[str, str] = {
     "format_profile_shipments": _format_profile(
         SHIPMENTS_CTE, "shipments", FORMAT_COLUMNS[SHIPMENTS.table], _shipment_types
     ),
-    "answer_check": "WITH "
-    + ", ".join([SHIPMENTS_CTE, INVENTORY_CTE])
-    + "\n"
-    + "\nUNION ALL\n".join(
-        [
-            _difference("volume_by_warehouse", _VOLUME, _VOLUME),
-            _difference("below_reorder", _BRIEF, _BRIEF),
-            _difference("volume_without_filter", _VOLUME_OF_ALL, _VOLUME),
-        ]
+    "answer_check": _checks(
+        _difference("below_reorder_brief", _BRIEF, _BRIEF),
+        _difference("forecast_accuracy_brief", _ACCURACY, _ACCURACY),
+        _difference("volume_by_warehouse", _VOLUME, _VOLUME),
+        _difference("inventory_value_by_warehouse", _VALUE, _VALUE),
+        _difference("reorder_by_lead_time", _LEAD, _LEAD),
+        _difference("fill_rate_by_category", _FILL, _FILL),
+        _difference("revenue_by_region", _REVENUE, _REVENUE),
+    ),
+    "answer_check_wrong": _checks(
+        _difference("volume_by_warehouse", _VOLUME_OF_ALL, _VOLUME),
+        _difference("below_reorder_brief", _BRIEF.replace("FROM latest", "FROM inventory"), _BRIEF),
+        _difference("fill_rate_by_category", _FILL.replace("DISTINCT ", ""), _FILL),
     ),
 }

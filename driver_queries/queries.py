@@ -9,7 +9,6 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfcast.functions import at_latest, stock_status_3, stock_status_4
-from shelfcast.operators.compare import difference_counts
 from shelfcast.operators.dictionary import (
     ENTITY_COLUMNS,
     FORMAT_COLUMNS,
@@ -19,6 +18,7 @@ from shelfcast.operators.dictionary import (
 from shelfcast.operators.snippets import snippet
 from shelfcast.operators.views import FORECAST_METRICS, INVENTORY_METRICS, SHIPMENT_METRICS
 from shelfcast.plans import analyses
+from shelfcast.plans.benchmarks import check_answers
 from shelfcast.sources import adapters, generate
 from shelfcast.sources.contracts import FORECASTS, INVENTORY, SHIPMENTS
 from shelfcast.sources.sample import PROFILES, regions_of
@@ -364,36 +364,80 @@ def format_profile_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_profile(adapters.shipments(spark, sf_dir, columns), columns)
 
 
+def _check_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {
+        SHIPMENTS.table: adapters.shipments(
+            spark,
+            sf_dir,
+            [
+                "order_id", "product_category", "quantity", "unit_price", "warehouse_id",
+                "destination_region", "order_status",
+            ],
+        ),
+        INVENTORY.table: adapters.inventory(spark, sf_dir),
+        FORECASTS.table: adapters.forecasts(spark, sf_dir),
+    }
+
+
 def answer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three answers against expected ones: two that agree, and one that must not.
+    """The benchmark questions answered in another way: all answers match."""
+    tables = _check_tables(spark, sf_dir)
+    delivered = tables[SHIPMENTS.table].where(snippet("delivered orders").build())
+    latest = at_latest(tables[INVENTORY.table])
+    low = latest.where(snippet("needs reorder").build())
+    orders = F.count_distinct("order_id")
+    filled = F.count_distinct(F.when(F.col("order_status") == "Delivered", F.col("order_id")))
+    answers = {
+        "below_reorder_brief": analyses.below_reorder(tables[INVENTORY.table]).drop(
+            "safety_stock_qty", "stock_status"
+        ),
+        "forecast_accuracy_brief": tables[FORECASTS.table]
+        .groupBy("product_category")
+        .agg(snippet("forecast accuracy").column())
+        .withColumnRenamed("avg_forecast_accuracy", "accuracy_pct"),
+        "volume_by_warehouse": SHIPMENT_METRICS.on(delivered)
+        .query(["total_units_shipped"], by=["warehouse_id"])
+        .withColumnRenamed("total_units_shipped", "total_shipped"),
+        "inventory_value_by_warehouse": INVENTORY_METRICS.on(tables[INVENTORY.table])
+        .query(["total_inventory_value"], by=["warehouse_id", "warehouse_name"], as_of="latest")
+        .withColumnRenamed("total_inventory_value", "total_value"),
+        "reorder_by_lead_time": low.select(
+            "product_sku", "product_name", "warehouse_name", "quantity_on_hand",
+            "reorder_point", "lead_time_days",
+        ),
+        "fill_rate_by_category": tables[SHIPMENTS.table]
+        .groupBy("product_category")
+        .agg((filled.cast("double") * 100 / orders).alias("fill_rate")),
+        "revenue_by_region": delivered.groupBy("destination_region")
+        .agg(snippet("sales").column())
+        .withColumnRenamed("gross_revenue", "total_revenue"),
+    }
+    return check_answers(answers, tables)
+
 
-    The last leaves out the delivered filter, so each warehouse has a wrong row.
+def answer_check_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three benchmark questions answered with a usual mistake: the differences are counted.
+
+    Orders of every status, snapshots of every date, and orders counted by line.
     """
-    shipments = adapters.shipments(
-        spark, sf_dir, ["order_id", "quantity", "warehouse_id", "order_status"]
-    )
-    inventory = adapters.inventory(spark, sf_dir)
-    expected_volume = analyses.volume_by_warehouse(shipments)
-    by_metric = SHIPMENT_METRICS.on(shipments).query(
-        ["total_units_shipped"], by=["warehouse_id"], where="order_status = 'Delivered'"
-    )
-    without_filter = shipments.groupBy("warehouse_id").agg(F.sum("quantity").alias("total_shipped"))
-    brief = analyses.below_reorder_brief(inventory)
-    checks = {
-        "volume_by_warehouse": (
-            by_metric.withColumnRenamed("total_units_shipped", "total_shipped"),
-            expected_volume,
+    tables = _check_tables(spark, sf_dir)
+    shipments, inventory = tables[SHIPMENTS.table], tables[INVENTORY.table]
+    low = inventory.where(snippet("low stock").build())
+    lines = F.count("order_id")
+    filled = F.count(F.when(F.col("order_status") == "Delivered", F.col("order_id")))
+    answers = {
+        "volume_by_warehouse": shipments.groupBy("warehouse_id").agg(
+            F.sum("quantity").alias("total_shipped")
+        ),
+        "below_reorder_brief": low.select(
+            "product_sku", "product_name", "warehouse_id", "warehouse_name",
+            "quantity_on_hand", "reorder_point",
+        ),
+        "fill_rate_by_category": shipments.groupBy("product_category").agg(
+            (filled.cast("double") * 100 / lines).alias("fill_rate")
         ),
-        "below_reorder": (analyses.below_reorder(inventory).select(*brief.columns), brief),
-        "volume_without_filter": (without_filter, expected_volume),
     }
-    results = [
-        difference_counts(actual, expected).select(
-            F.lit(name).alias("question"), "missing_rows", "extra_rows", "matches"
-        )
-        for name, (actual, expected) in checks.items()
-    ]
-    return results[0].unionAll(results[1]).unionAll(results[2])
+    return check_answers(answers, tables)
 
 
 QUERIES: dict[str, Query] = {
@@ -437,5 +481,6 @@ QUERIES: dict[str, Query] = {
         value_dictionary_forecasts,
         format_profile_shipments,
         answer_check,
+        answer_check_wrong,
     )
 }

@@ -4,13 +4,21 @@ from .operators.compare import compare, difference_counts, row_differences
 from .operators.dictionary import format_profile, value_dictionary
 from .operators.metrics import Measure, MetricView, distinct, mean, rows, total
 from .operators.snippets import SNIPPETS, snippet
-from .operators.views import FORECAST_METRICS, INVENTORY_METRICS, METRIC_VIEWS, SHIPMENT_METRICS
+from .operators.views import (
+    FORECAST_METRICS,
+    INVENTORY_METRICS,
+    METRIC_VIEWS,
+    SHIPMENT_METRICS,
+    metric_view,
+)
+from .plans.benchmarks import BENCHMARKS, check_answers
 from .plans.catalogue import QUESTIONS, answer
 from .sources.contracts import CONTRACTS, FORECASTS, INVENTORY, SHIPMENTS, Contract, conform
 from .sources.store import deploy, materialize, teardown
 from .sources.tables import catalog_tables
 
 __all__ = [
+    "BENCHMARKS",
     "CONTRACTS",
     "Contract",
     "FORECASTS",
@@ -26,6 +34,7 @@ __all__ = [
     "SNIPPETS",
     "answer",
     "catalog_tables",
+    "check_answers",
     "compare",
     "conform",
     "deploy",
@@ -34,6 +43,7 @@ __all__ = [
     "format_profile",
     "materialize",
     "mean",
+    "metric_view",
     "row_differences",
     "rows",
     "snippet",

@@ -5,6 +5,7 @@ import pytest
 
 from conftest import tuples
 from shelfcast.plans import analyses
+from shelfcast.plans.benchmarks import BENCHMARKS, check_answers
 from shelfcast.plans.catalogue import QUESTIONS, answer
 
 LATEST = "2025-01-08"
@@ -146,3 +147,19 @@ def test_catalogue(inventory, shipments, make_forecasts):
     assert answer("low_fill_rate_warehouses", tables, below_pct=60).count() == 0
     with pytest.raises(KeyError, match="no question"):
         answer("nope", tables)
+
+
+def test_check_answers(inventory, shipments):
+    tables = {"shipment_orders": shipments, "inventory_levels": inventory}
+    brief = analyses.below_reorder_brief(inventory)
+    got = check_answers(
+        {
+            "below_reorder_brief": brief.where("product_sku <> 'E'"),
+            "volume_by_warehouse": analyses.volume_by_warehouse(shipments),
+        },
+        tables,
+    )
+    assert tuples(got) == [("below_reorder_brief", 1, 0, False), ("volume_by_warehouse", 0, 0, True)]
+    with pytest.raises(ValueError, match="not benchmarks"):
+        check_answers({"nope": brief}, tables)
+    assert set(BENCHMARKS) <= set(QUESTIONS)
