@@ -526,15 +526,19 @@ ORACLES: dict[str, str] = {
     "format_profile_shipments": _format_profile(
         SHIPMENTS_CTE, "shipments", FORMAT_COLUMNS[SHIPMENTS.table], _shipment_types
     ),
-    "answer_check": _checks(
-        _difference("below_reorder_brief", _BRIEF, _BRIEF),
-        _difference("forecast_accuracy_brief", _ACCURACY, _ACCURACY),
+    "answer_check_shipments": _checks(
         _difference("volume_by_warehouse", _VOLUME, _VOLUME),
-        _difference("inventory_value_by_warehouse", _VALUE, _VALUE),
-        _difference("reorder_by_lead_time", _LEAD, _LEAD),
         _difference("fill_rate_by_category", _FILL, _FILL),
         _difference("revenue_by_region", _REVENUE, _REVENUE),
     ),
+    "answer_check_inventory": _checks(
+        _difference("below_reorder_brief", _BRIEF, _BRIEF),
+        _difference("inventory_value_by_warehouse", _VALUE, _VALUE),
+        _difference("reorder_by_lead_time", _LEAD, _LEAD),
+    ),
+    "answer_check_forecasts": _checks(
+        _difference("forecast_accuracy_brief", _ACCURACY, _ACCURACY),
+    ),
     "answer_check_wrong": _checks(
         _difference("volume_by_warehouse", _VOLUME_OF_ALL, _VOLUME),
         _difference("below_reorder_brief", _BRIEF.replace("FROM latest", "FROM inventory"), _BRIEF),

@@ -364,55 +364,62 @@ def format_profile_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_profile(adapters.shipments(spark, sf_dir, columns), columns)
 
 
-def _check_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {
-        SHIPMENTS.table: adapters.shipments(
-            spark,
-            sf_dir,
-            [
-                "order_id", "product_category", "quantity", "unit_price", "warehouse_id",
-                "destination_region", "order_status",
-            ],
-        ),
-        INVENTORY.table: adapters.inventory(spark, sf_dir),
-        FORECASTS.table: adapters.forecasts(spark, sf_dir),
-    }
+CHECKED_SHIPMENT_COLUMNS = [
+    "order_id", "product_category", "quantity", "unit_price", "warehouse_id",
+    "destination_region", "order_status",
+]
 
 
-def answer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark questions answered in another way: all answers match."""
-    tables = _check_tables(spark, sf_dir)
-    delivered = tables[SHIPMENTS.table].where(snippet("delivered orders").build())
-    latest = at_latest(tables[INVENTORY.table])
-    low = latest.where(snippet("needs reorder").build())
+def answer_check_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark questions on shipments, answered in another way: all answers match."""
+    shipments = adapters.shipments(spark, sf_dir, CHECKED_SHIPMENT_COLUMNS)
+    delivered = shipments.where(snippet("delivered orders").build())
     orders = F.count_distinct("order_id")
     filled = F.count_distinct(F.when(F.col("order_status") == "Delivered", F.col("order_id")))
     answers = {
-        "below_reorder_brief": analyses.below_reorder(tables[INVENTORY.table]).drop(
-            "safety_stock_qty", "stock_status"
-        ),
-        "forecast_accuracy_brief": tables[FORECASTS.table]
-        .groupBy("product_category")
-        .agg(snippet("forecast accuracy").column())
-        .withColumnRenamed("avg_forecast_accuracy", "accuracy_pct"),
         "volume_by_warehouse": SHIPMENT_METRICS.on(delivered)
         .query(["total_units_shipped"], by=["warehouse_id"])
         .withColumnRenamed("total_units_shipped", "total_shipped"),
-        "inventory_value_by_warehouse": INVENTORY_METRICS.on(tables[INVENTORY.table])
+        "fill_rate_by_category": shipments.groupBy("product_category").agg(
+            (filled.cast("double") * 100 / orders).alias("fill_rate")
+        ),
+        "revenue_by_region": delivered.groupBy("destination_region")
+        .agg(snippet("sales").column())
+        .withColumnRenamed("gross_revenue", "total_revenue"),
+    }
+    return check_answers(answers, {SHIPMENTS.table: shipments})
+
+
+def answer_check_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark questions on inventory, answered in another way: all answers match."""
+    inventory = adapters.inventory(spark, sf_dir)
+    low = at_latest(inventory).where(snippet("needs reorder").build())
+    answers = {
+        "below_reorder_brief": analyses.below_reorder(inventory).drop(
+            "safety_stock_qty", "stock_status"
+        ),
+        "inventory_value_by_warehouse": INVENTORY_METRICS.on(inventory)
         .query(["total_inventory_value"], by=["warehouse_id", "warehouse_name"], as_of="latest")
         .withColumnRenamed("total_inventory_value", "total_value"),
         "reorder_by_lead_time": low.select(
             "product_sku", "product_name", "warehouse_name", "quantity_on_hand",
             "reorder_point", "lead_time_days",
         ),
-        "fill_rate_by_category": tables[SHIPMENTS.table]
-        .groupBy("product_category")
-        .agg((filled.cast("double") * 100 / orders).alias("fill_rate")),
-        "revenue_by_region": delivered.groupBy("destination_region")
-        .agg(snippet("sales").column())
-        .withColumnRenamed("gross_revenue", "total_revenue"),
     }
-    return check_answers(answers, tables)
+    return check_answers(answers, {INVENTORY.table: inventory})
+
+
+def answer_check_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark question on forecasts, answered by a snippet: the answer matches."""
+    forecasts = adapters.forecasts(spark, sf_dir)
+    by_snippet = (
+        forecasts.groupBy("product_category")
+        .agg(snippet("forecast accuracy").column())
+        .withColumnRenamed("avg_forecast_accuracy", "accuracy_pct")
+    )
+    return check_answers(
+        {"forecast_accuracy_brief": by_snippet}, {FORECASTS.table: forecasts}
+    )
 
 
 def answer_check_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,8 +427,8 @@ def answer_check_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Orders of every status, snapshots of every date, and orders counted by line.
     """
-    tables = _check_tables(spark, sf_dir)
-    shipments, inventory = tables[SHIPMENTS.table], tables[INVENTORY.table]
+    shipments = adapters.shipments(spark, sf_dir, CHECKED_SHIPMENT_COLUMNS)
+    inventory = adapters.inventory(spark, sf_dir)
     low = inventory.where(snippet("low stock").build())
     lines = F.count("order_id")
     filled = F.count(F.when(F.col("order_status") == "Delivered", F.col("order_id")))
@@ -437,7 +444,7 @@ def answer_check_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
             (filled.cast("double") * 100 / lines).alias("fill_rate")
         ),
     }
-    return check_answers(answers, tables)
+    return check_answers(answers, {SHIPMENTS.table: shipments, INVENTORY.table: inventory})
 
 
 QUERIES: dict[str, Query] = {
@@ -480,7 +487,9 @@ QUERIES: dict[str, Query] = {
         value_dictionary_inventory,
         value_dictionary_forecasts,
         format_profile_shipments,
-        answer_check,
+        answer_check_shipments,
+        answer_check_inventory,
+        answer_check_forecasts,
         answer_check_wrong,
     )
 }
