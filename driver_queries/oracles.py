@@ -71,15 +71,15 @@ FORECASTS_CTE = """monthly AS (
   LEFT JOIN region ON n_regionkey = r_regionkey
   GROUP BY ALL
 ), predicted AS (
-  SELECT *, (actual_demand
+  SELECT *, (actual_demand::BIGINT
              * (88 + (7 * month(forecast_date) + 5 * r_regionkey) % 25) // 100)::INT
              AS predicted_demand
   FROM monthly
 ), forecasts AS (
   SELECT product_sku, product_sku AS product_name, product_category, forecast_date,
          predicted_demand,
-         (predicted_demand * 83 // 100)::INT AS confidence_lower,
-         (predicted_demand * 115 // 100)::INT AS confidence_upper,
+         (predicted_demand::BIGINT * 83 // 100)::INT AS confidence_lower,
+         (predicted_demand::BIGINT * 115 // 100)::INT AS confidence_upper,
          actual_demand,
          round(abs(actual_demand - predicted_demand)::DOUBLE / nullif(actual_demand, 0) * 100, 1)
            AS forecast_error_pct,

@@ -146,7 +146,7 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.month("forecast_date")
     predicted = (
         monthly.withColumn("__bias", 88 + (7 * month + 5 * F.col("r_regionkey")) % 25)
-        .withColumn("predicted_demand", F.expr("cast(actual_demand * __bias div 100 as int)"))
+        .withColumn("predicted_demand", F.expr("cast(bigint(actual_demand) * __bias div 100 as int)"))
     )
     version = (
         F.when(month <= 4, "v3.0").when(month <= 8, "v3.1").otherwise("v3.2")
@@ -156,8 +156,8 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
         FORECASTS,
         {
             "product_name": "product_sku",
-            "confidence_lower": F.expr("predicted_demand * 83 div 100"),
-            "confidence_upper": F.expr("predicted_demand * 115 div 100"),
+            "confidence_lower": F.expr("bigint(predicted_demand) * 83 div 100"),
+            "confidence_upper": F.expr("bigint(predicted_demand) * 115 div 100"),
             "forecast_error_pct": error_pct(),
             "model_version": version,
         },
