@@ -10,19 +10,20 @@ from pyspark.sql import DataFrame, functions as F
 def row_differences(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """Rows whose number differs, with ``surplus`` = times in actual minus times in expected.
 
-    One union and one aggregation for both directions; equal rows collapse before the
-    shuffle. ``expected`` decides column order and types.
+    Each side shrinks to its distinct rows and their number before the two meet: equal rows
+    collapse before their one shuffle, the union keeps that layout for the last aggregation,
+    and a sort at the end of an answer is dropped by the optimizer. ``expected`` decides
+    column order and types.
     """
     columns = expected.columns
     if sorted(actual.columns) != sorted(columns):
         raise ValueError(f"columns differ: {sorted(actual.columns)} and {sorted(columns)}")
     typed = actual.select(*[F.col(f.name).cast(f.dataType) for f in expected.schema.fields])
-    both = typed.withColumn("__side", F.lit(1)).unionAll(
-        expected.withColumn("__side", F.lit(-1))
-    )
-    return (
-        both.groupBy(*columns).agg(F.sum("__side").alias("surplus")).where(F.col("surplus") != 0)
-    )
+    times = F.count(F.lit(1))
+    found = typed.groupBy(*columns).agg(times.alias("__times"))
+    wanted = expected.groupBy(*columns).agg((-times).alias("__times"))
+    surplus = found.unionAll(wanted).groupBy(*columns).agg(F.sum("__times").alias("surplus"))
+    return surplus.where(F.col("surplus") != 0)
 
 
 def difference_counts(actual: DataFrame, expected: DataFrame) -> DataFrame:

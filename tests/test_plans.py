@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 from driver_queries.queries import QUERIES
+from shelfcast.operators.compare import row_differences
 from shelfcast.plans import analyses
 from shelfcast.sources import adapters, generate
 
@@ -87,3 +88,12 @@ def test_demand_is_aggregated_before_its_join(spark):
     )
     join = plan.index("LeftOuter")
     assert "HashAggregate" in plan[join:] or "SortAggregate" in plan[join:]
+
+
+def test_comparison_shuffles_each_side_once_and_drops_sorts(spark, tmp_path):
+    path = str(tmp_path / "inventory")
+    adapters.inventory(spark, SF_DIR).write.parquet(path)
+    stored = spark.read.parquet(path)
+    plan = plan_of(row_differences(stored.orderBy("unit_cost"), stored.orderBy("product_sku")))
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "rangepartitioning" not in plan and "Sort [" not in plan
