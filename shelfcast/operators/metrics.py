@@ -182,7 +182,7 @@ def _aggregate(df: DataFrame, by: list[str], names: Mapping[Term, str]) -> DataF
     (dimensions, key) with a flag for each condition, then to the dimensions. Spark's own
     plan for several conditional distinct counts first copies every row once per count. Both
     steps combine before their shuffle, so a group with a large share of the rows is small
-    by the time it moves.
+    by the time it moves. Only a query that counts several different keys takes Spark's plan.
     """
     keys = {t.expr for t in names if t.kind == "distinct"}
     if len(keys) != 1:

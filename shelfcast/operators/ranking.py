@@ -47,6 +47,7 @@ def global_rank(
     ``bucket`` must not decrease along ``order`` within one ``lead`` value. The only global
     window runs over the group sizes: one narrow row per (lead, bucket), so the distinct
     ``lead`` values (days of a calendar, say) must be few; the rows of ``df`` may be many.
+    Neither ``lead`` nor ``bucket`` may be NULL.
     """
     sizes = df.groupBy(lead, bucket).agg(F.count(F.lit(1)).alias("__n"))
     up_to = F.sum("__n").over(Window.orderBy(lead, bucket))

@@ -9,6 +9,7 @@ shuffle before the unfolding moves pairs, which are fewer than rows by the numbe
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Callable, Sequence
 from decimal import Decimal
 
@@ -38,6 +39,9 @@ IN_TRANSIT_BELOW = 0.08
 IN_TRANSIT_AFTER = dt.date(2025, 11, 15)
 MODEL_VERSIONS = ((4, "v3.0"), (8, "v3.1"), (12, "v3.2"))
 
+GROUPS_PER_PARTITION = 4
+MOST_RANK_BUCKETS = 1024
+
 Profiles = Sequence[CategoryProfile]
 
 
@@ -77,14 +81,18 @@ def shipments(
     profiles: Profiles = PROFILES,
     customers: int = 500,
     in_transit_after: dt.date = IN_TRANSIT_AFTER,
-    rank_buckets: int = 64,
+    rank_buckets: int | None = None,
 ) -> DataFrame:
     """Orders: a (weekday, product, warehouse) sells with its category's seasonal chance.
 
     Ids number the orders by (date, sku, warehouse). ``rank_buckets`` is the number of sku
-    ranges a day is cut into for that; it affects balance, never the ids.
+    ranges a day is cut into for that; it affects balance, never the ids. By default it is
+    chosen so that there are several (day, range) groups per shuffle partition.
     """
     keys = ("order_date", "product_sku", "warehouse_id")
+    if rank_buckets is None:
+        groups = GROUPS_PER_PARTITION * shuffle_width(products)
+        rank_buckets = min(MOST_RANK_BUCKETS, math.ceil(groups / ((end - start).days + 1)))
     cuts = range_cuts(products, "product_sku", rank_buckets)
     sold = products.select(
         "product_sku",
