@@ -514,7 +514,7 @@ ORACLES: dict[str, str] = {
         "SELECT DISTINCT r_name AS region FROM supplier "
         "JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
     ),
-    "value_dictionary_shipments": _dictionary(
+    "value_dictionary": _dictionary(
         SHIPMENTS_CTE, "shipments", ENTITY_COLUMNS[SHIPMENTS.table]
     ),
     "value_dictionary_inventory": _dictionary(
@@ -526,7 +526,7 @@ ORACLES: dict[str, str] = {
     "format_profile_shipments": _format_profile(
         SHIPMENTS_CTE, "shipments", FORMAT_COLUMNS[SHIPMENTS.table], _shipment_types
     ),
-    "answer_check_shipments": _checks(
+    "answer_check": _checks(
         _difference("volume_by_warehouse", _VOLUME, _VOLUME),
         _difference("fill_rate_by_category", _FILL, _FILL),
         _difference("revenue_by_region", _REVENUE, _REVENUE),

@@ -9,12 +9,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfcast.functions import at_latest, stock_status_3, stock_status_4
-from shelfcast.operators.dictionary import (
-    ENTITY_COLUMNS,
-    FORMAT_COLUMNS,
-    format_profile,
-    value_dictionary,
-)
+from shelfcast.operators import dictionary
+from shelfcast.operators.dictionary import ENTITY_COLUMNS, FORMAT_COLUMNS
 from shelfcast.operators.snippets import snippet
 from shelfcast.operators.views import FORECAST_METRICS, INVENTORY_METRICS, SHIPMENT_METRICS
 from shelfcast.plans import analyses
@@ -342,26 +338,26 @@ def warehouse_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- profiling and checking ---
 
 
-def value_dictionary_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def value_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ENTITY_COLUMNS[SHIPMENTS.table]
-    return value_dictionary(adapters.shipments(spark, sf_dir, columns), columns)
+    return dictionary.value_dictionary(adapters.shipments(spark, sf_dir, columns), columns)
 
 
 def value_dictionary_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return value_dictionary(
+    return dictionary.value_dictionary(
         adapters.inventory(spark, sf_dir), ENTITY_COLUMNS[INVENTORY.table]
     )
 
 
 def value_dictionary_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return value_dictionary(
+    return dictionary.value_dictionary(
         adapters.forecasts(spark, sf_dir), ENTITY_COLUMNS[FORECASTS.table]
     )
 
 
 def format_profile_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = FORMAT_COLUMNS[SHIPMENTS.table]
-    return format_profile(adapters.shipments(spark, sf_dir, columns), columns)
+    return dictionary.format_profile(adapters.shipments(spark, sf_dir, columns), columns)
 
 
 CHECKED_SHIPMENT_COLUMNS = [
@@ -370,7 +366,7 @@ CHECKED_SHIPMENT_COLUMNS = [
 ]
 
 
-def answer_check_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark questions on shipments, answered in another way: all answers match."""
     shipments = adapters.shipments(spark, sf_dir, CHECKED_SHIPMENT_COLUMNS)
     delivered = shipments.where(snippet("delivered orders").build())
@@ -483,11 +479,11 @@ QUERIES: dict[str, Query] = {
         gen_inventory,
         gen_forecasts,
         warehouse_regions,
-        value_dictionary_shipments,
+        value_dictionary,
         value_dictionary_inventory,
         value_dictionary_forecasts,
         format_profile_shipments,
-        answer_check_shipments,
+        answer_check,
         answer_check_inventory,
         answer_check_forecasts,
         answer_check_wrong,
