@@ -90,7 +90,8 @@ def test_revenue(shipments):
 
 
 def test_daily_demand_of_one_day_is_null(shipments):
-    got = {(r.product_sku, r.warehouse_id): r.avg_daily_demand for r in analyses.daily_demand(shipments).collect()}
+    demand = analyses.daily_demand(shipments)
+    got = {(r.product_sku, r.warehouse_id): r.avg_daily_demand for r in demand.collect()}
     assert got == {("A", "W1"): 10.0, ("B", "W1"): None, ("D", "W2"): 1.0}
 
 

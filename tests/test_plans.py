@@ -76,6 +76,17 @@ def test_latest_snapshot_prunes_partitions(spark, tmp_path):
     assert pruning and "snapshot_date" in pruning[0]
 
 
+def test_trailing_window_prunes_partitions(spark, tmp_path):
+    path = str(tmp_path / "shipments")
+    columns = ["order_id", "order_date", "quantity", "warehouse_id", "order_status"]
+    adapters.shipments(spark, SF_DIR, columns).where("order_date > '2001-06-01'").write.partitionBy(
+        "order_date"
+    ).parquet(path)
+    plan = plan_of(analyses.recent_volume_by_warehouse(spark.read.parquet(path)))
+    pruning = [p for p in re.findall(r"PartitionFilters: \[([^\]]*)\]", plan) if "ubquery" in p]
+    assert pruning and "add_months" in pruning[0]
+
+
 def test_demand_is_aggregated_before_its_join(spark):
     plan = plan_of(
         analyses.days_of_supply(

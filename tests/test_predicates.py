@@ -2,7 +2,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import tuples
 from shelfcast.functions import (
     at_latest,
     below_reorder_point,

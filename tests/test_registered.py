@@ -10,6 +10,8 @@ from verify import normalized, oracle_connection
 
 SF_DIR = "/root/testdata/sf0.001"
 
+SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER"}
+
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables")
 
 
@@ -33,6 +35,8 @@ def test_rows_equal(spark, duck, name):
     df = contract.queries()[name](spark, SF_DIR)
     got = pd.DataFrame([tuple(r) for r in df.collect()], columns=df.columns, dtype=object)
     cursor = duck.execute(contract.oracle_sql()[name])
+    types = {d[0]: str(d[1]) for d in cursor.description}
+    assert types == {c: SQL_TYPES.get(t, t.upper()) for c, t in df.dtypes}
     columns = [d[0] for d in cursor.description]
     want = pd.DataFrame(cursor.fetchall(), columns=columns, dtype=object)
     pd.testing.assert_frame_equal(normalized(got), normalized(want))
