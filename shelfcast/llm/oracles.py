@@ -7,7 +7,7 @@ _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP10_LINE_DEDUP = f"""
 WITH lines AS (
-  SELECT d, doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS at
+  SELECT d, doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos
   FROM (SELECT row_number() OVER () AS d, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts
         FROM documents)
 ), keyed AS (
@@ -17,7 +17,7 @@ WITH lines AS (
 )
 SELECT doc_id, count(*) AS n_lines,
        count(*) FILTER (WHERE s.key IS NOT NULL) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE s.key IS NULL), ''))
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE s.key IS NULL), ''))
          AS kept_sha256
 FROM keyed LEFT JOIN shared s USING (key)
 GROUP BY d, doc_id
