@@ -23,6 +23,38 @@ FROM keyed LEFT JOIN shared s USING (key)
 GROUP BY d, doc_id
 """
 
+OP3_NGRAM_JACCARD = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
+  FROM docs
+), classes AS (
+  SELECT s, len(s) AS n, min(doc_id) AS node FROM sets WHERE len(s) > 0 GROUP BY s
+), elements AS (
+  SELECT node, n, unnest(s) AS e FROM classes
+), overlap_of AS (
+  SELECT a.node AS x, b.node AS y, a.n + b.n AS both_n, count(*) AS o
+  FROM elements a JOIN elements b ON a.e = b.e AND a.node < b.node
+   AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY ALL
+), links AS (
+  SELECT x, y FROM overlap_of WHERE 100 * o >= 80 * (both_n - o)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(x, y) AS (
+  SELECT node, node FROM classes UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x
+), least_of AS (
+  SELECT x AS node, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles,
+       CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE l.component_id END AS component_id
+FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN least_of l USING (node)
+"""
+
 ORACLES = {
+    "op3_ngram_jaccard": OP3_NGRAM_JACCARD,
     "op10_line_dedup": OP10_LINE_DEDUP,
 }

@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .line_dedup import drop_repeated_lines
+from .ngram_join import near_duplicate_classes
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    return near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +23,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op10_line_dedup": op10_line_dedup,
 }
