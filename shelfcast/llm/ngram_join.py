@@ -10,8 +10,8 @@
    components; only sets in differing components are compared further.
 5. The sets of an element are banded by size (similar sets lie in the same or in neighbouring
    bands) and cut into tiles of bounded size, two blocks each. A tile compares sizes and parity
-   signatures; the bit count bounds the overlap from above. Surviving pairs are intersected
-   exactly as sorted arrays.
+   signatures; the bit count bounds the overlap from above. Surviving pairs meet a signature as
+   wide as the sets are large, and what is left is intersected exactly as sorted arrays.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import column, pieces, text_bytes, whole_text, written
 from .components import components
-from .shingles import parity_bitmap, shingle_sets
+from .shingles import differing_bits, parity_bitmap, shingle_sets, wide_bitmap
 
 SHINGLE, PERCENT = 5, 80
 #: Bits of a signature, and rows of a block (a tile holds two).
@@ -147,7 +147,8 @@ def _node_bits(node: str) -> Column:
 
 
 def _sets(docs: DataFrame, text: str, width: int, nodes: DataFrame, arrays: bool) -> DataFrame:
-    """``(node, n, data)`` of the given nodes, from the texts: the sorted array or the signature."""
+    """``(node, n, data, wide)`` of the given nodes, from the texts: the sorted array and a wide
+    signature, or the signature of a tile and nothing."""
     wanted = docs.sparkSession.sparkContext.broadcast(
         _bitmap_of(nodes.select(_node_bits("node").alias("h")), "h")
     )
@@ -172,13 +173,14 @@ def _sets(docs: DataFrame, text: str, width: int, nodes: DataFrame, arrays: bool
                         pa.array(keep, pa.binary()),
                         pa.array([len(found[n]) for n in keep], pa.int64()),
                         pa.array(data, pa.binary()),
+                        pa.array([wide_bitmap(found[n]).tobytes() if arrays else b"" for n in keep], pa.binary()),
                     ],
-                    names=["node", "n", "data"],
+                    names=["node", "n", "data", "wide"],
                 )
 
-    rows = _texts(docs, text).mapInArrow(run, "node binary, n long, data binary")
+    rows = _texts(docs, text).mapInArrow(run, "node binary, n long, data binary, wide binary")
     exact = rows.join(nodes.select("node").distinct(), "node", "left_semi")
-    return exact.groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("data"))
+    return exact.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "data", "wide")])
 
 
 def _compatible(a: Column, b: Column, percent: int) -> Column:
@@ -200,6 +202,7 @@ def _confirmed(docs: DataFrame, text: str, width: int, percent: int, pairs: Data
     """``(a, b, overlap)``: the pairs whose exact intersection is large enough."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = written(_sets(docs, text, width, ends, arrays=True), "sets")
+    pairs = _wide_pairs(pairs, sets, percent)
     x = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("data").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("data").alias("y"))
 
@@ -224,6 +227,23 @@ def _confirmed(docs: DataFrame, text: str, width: int, percent: int, pairs: Data
     )
 
 
+def _wide_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wide signatures leave room for a link."""
+    x = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = [differing_bits(*p) for p in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True)]
+            both = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            most = (both - np.array(apart, np.int64)) // 2
+            kept = batch.filter(pa.array(most * 100 >= percent * (both - most)))
+            yield pa.record_batch(kept.columns[:2], names=["a", "b"])
+
+    sized = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "na", "nb")
+    return written(sized.mapInArrow(run, "a binary, b binary"), "wide_pairs")
+
+
 def _pivot_pairs(rows: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Each set with the least sets, by a few orders, of each of its elements."""
     ranks = [F.xxhash64("node", F.lit(i)) for i in range(PIVOTS)]
@@ -256,9 +276,7 @@ def _tile_pairs(rows: DataFrame, signatures: DataFrame, percent: int) -> DataFra
     ``rows`` has (e, node, comp). A tile holds two blocks of sets of one element, from one size
     band and the band below it.
     """
-    open_ = rows.groupBy("e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    rows = rows.join(open_.where("lo <> hi").select("e"), "e")
-    rows = written(rows.join(signatures, "node"), "open")
+    rows = rows.join(signatures.select("node", "n"), "node")
     step = math.log(100 / percent) if percent < 100 else math.log(2)
     band = F.floor(F.log("n") / F.lit(step) + F.lit(1e-9))
     placed = rows.withColumn(
@@ -286,9 +304,10 @@ def _tile_pairs(rows: DataFrame, signatures: DataFrame, percent: int) -> DataFra
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select(
             F.xxhash64("e", "band", F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
-            "node", F.col("comp"), "n", "data", "home", "block",
-            (F.col("block") == F.col("other")).alias("same"),
+            "node", "comp", "n", "home", "block",
         )
+        .join(signatures.select("node", "data"), "node")
+        .select("tile", "node", "comp", "n", "data", "home", "block")
     )
 
     def compare(t: pa.Table) -> pa.RecordBatch:
@@ -339,7 +358,7 @@ def _tile_pairs(rows: DataFrame, signatures: DataFrame, percent: int) -> DataFra
             yield compare(pa.Table.from_batches(held))
 
     return (
-        dealt.drop("same").repartition("tile").sortWithinPartitions("tile")
+        dealt.repartition("tile").sortWithinPartitions("tile")
         .mapInArrow(run, "a binary, b binary")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .where("a <> b")
