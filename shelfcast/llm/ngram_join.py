@@ -38,7 +38,7 @@ SAMPLE_ONE_IN, SAMPLE_COUNT, MOST_FREQUENT = 16, 16, 1 << 18
 #: more rows to an exact join and changes no result.
 FILTER_BITS = 27
 PIVOTS = 3
-_STEP = 2_000_000
+_STEP = 1_000_000
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:

@@ -54,7 +54,58 @@ SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles,
 FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN least_of l USING (node)
 """
 
+#: The anchors, written out again so that the query's own list is checked too.
+_ANCHORS = """a al an and are as at au auf be by con dans das de del dem den der des die du ein eine
+el en es est et for from für il in is ist it la las le les los mit nicht no of on or para por pour
+que qui se sich sur that the this to un una und une von was with y zu"""
+
+OP9_SPOTSIGS = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, '')) DESC) - 1 AS pos
+  FROM documents
+), pairs AS (
+  SELECT a.pos, a.doc_id, a.t, length(a.t) // 2 AS half, b.t AS nt, b.pos AS npos
+  FROM docs a JOIN docs b ON b.pos = (a.pos + 1) % (SELECT count(*) FROM docs)
+), texts AS (
+  SELECT pos, 'own' AS kind, t FROM docs
+  UNION ALL
+  SELECT pos, 'edited', left(t, length(t) - half) || left(nt, half) FROM pairs
+), words AS (
+  SELECT pos, kind, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i
+  FROM (SELECT pos, kind, regexp_extract_all(translate(translate(t, {_AZ}), chr(1), chr(2)),
+               '[^\\x20\\x09-\\x0D]+') AS w FROM texts)
+), marked AS (
+  SELECT *, i < n AND word IN ({", ".join(f"'{w}'" for w in _ANCHORS.split())}) AS anchor FROM words
+), grouped AS (
+  SELECT *, sum(CASE WHEN anchor THEN 0 ELSE 1 END) OVER (PARTITION BY pos, kind ORDER BY i)
+            + CASE WHEN anchor THEN 1 ELSE 0 END AS g FROM marked
+), content AS (
+  SELECT pos, kind, g, string_agg(word, chr(1) ORDER BY i) AS whole,
+         max(word) FILTER (WHERE NOT anchor) AS word, count(*) > 1 AS spot
+  FROM grouped GROUP BY pos, kind, g
+), chains AS (
+  SELECT pos, kind, spot, whole
+         || coalesce(' ' || lead(word, 1) OVER o, '') || coalesce(' ' || lead(word, 2) OVER o, '') AS chain
+  FROM content WINDOW o AS (PARTITION BY pos, kind ORDER BY g)
+), found AS (
+  SELECT pos, kind, list_sort(list_distinct(list(substr(md5(chain), 1, 12)))) AS sigs
+  FROM chains WHERE spot GROUP BY pos, kind
+), sigs AS (
+  SELECT t.pos, t.kind, t.t, coalesce(f.sigs, [substr(md5(t.t), 1, 12)]) AS s
+  FROM texts t LEFT JOIN found f USING (pos, kind)
+)
+SELECT p.doc_id, length(p.t) AS n_chars, sha256(e.t) AS edited_sha256,
+       array_to_string(o.s, '') AS fingerprint, array_to_string(e.s, '') AS edited_fingerprint,
+       len(list_intersect(o.s, e.s)) / (len(o.s) + len(e.s) - len(list_intersect(o.s, e.s))) AS near_edited,
+       len(list_intersect(o.s, x.s)) / (len(o.s) + len(x.s) - len(list_intersect(o.s, x.s))) AS near_next
+FROM pairs p JOIN sigs o ON o.pos = p.pos AND o.kind = 'own'
+JOIN sigs e ON e.pos = p.pos AND e.kind = 'edited'
+JOIN sigs x ON x.pos = p.npos AND x.kind = 'own'
+"""
+
 ORACLES = {
+    "op9_spotsigs": OP9_SPOTSIGS,
     "op3_ngram_jaccard": OP3_NGRAM_JACCARD,
     "op10_line_dedup": OP10_LINE_DEDUP,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 from .line_dedup import drop_repeated_lines
 from .ngram_join import near_duplicate_classes
+from .spot_signatures import fingerprints_with_edit
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot-signature fingerprints of every text and of its edited text."""
+    return fingerprints_with_edit(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more share lose all their occurrences."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,5 +30,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op9_spotsigs": op9_spotsigs,
     "op10_line_dedup": op10_line_dedup,
 }

@@ -18,7 +18,7 @@ _CACHE: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     known = _CACHE.get(base)
     if known is None or len(known) < n:
-        steps = np.full(max(n, 1 << 21), base, np.uint64)
+        steps = np.full(max(n, 1 << 20), base, np.uint64)
         steps[0] = 1
         known = np.cumprod(steps, dtype=np.uint64)
         if len(known) <= 1 << 23:  # a longer text's powers aren't kept
@@ -29,12 +29,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 _LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ROOT))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts in A-Z lower case, and each text's number of words.
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts (A-Z in lower case), and each text's number of words.
 
     A word's hash is a polynomial in its bytes, read off one running sum over the whole batch.
     """
-    data = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+    joined = b" ".join([*texts, b""])
+    data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
     blank = np.concatenate([[True], _SPACE[data], [True]])
     begin = np.flatnonzero(blank[:-1] & ~blank[1:])
     end = np.flatnonzero(~blank[:-1] & blank[1:])
