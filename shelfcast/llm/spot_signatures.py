@@ -112,7 +112,8 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.col("bucket").alias("closes"),
         F.coalesce(F.lead("order").over(down), F.first("order").over(everything)).alias("wanted"),
     )
-    picked = rows.join(closing, F.col("order").eqNullSafe(F.col("wanted")))
+    # one row for each range, at most two for each shuffle partition: small enough to send around
+    picked = rows.join(F.broadcast(closing), F.col("order").eqNullSafe(F.col("wanted")))
     # rows equal in key and text close a range once
     ghosts = picked.groupBy(F.col("closes").alias("bucket")).agg(F.first("text").alias("text")).select(
         "bucket", F.lit(None).cast(rows.schema["order"].dataType).alias("order"),
