@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .line_dedup import drop_repeated_lines
+from .mixing import mix
 from .ngram_join import near_duplicate_classes
 from .spot_signatures import fingerprints_with_edit
 
@@ -15,6 +16,16 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source: 150 % of all words at weights 5, 2, 1, repeating."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    taken = F.col("size") * F.size("draws")
+    return mix(docs).select(
+        "doc.doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"),
+        F.col("draws.shard").alias("shards"),
+    )
+
+
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spot-signature fingerprints of every text and of its edited text."""
     return fingerprints_with_edit(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -30,6 +41,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op5_mixing": op5_mixing,
     "op9_spotsigs": op9_spotsigs,
     "op10_line_dedup": op10_line_dedup,
 }
