@@ -150,7 +150,8 @@ def plan_mix(
                     break
                 plan.left -= words
             plan.cell.append(last)
-    for _ in range(FILL_ROUNDS if parts else 0):
+    for round_ in range(FILL_ROUNDS + 1 if parts else 0):
+        closing = round_ == FILL_ROUNDS  # a document that goes beyond the target, but less far from it
         gaps = [(p.key, p.left, p.cell, p.extra) for p in parts if p.left >= 1]
         if not gaps:
             break
@@ -158,9 +159,11 @@ def plan_mix(
             gaps, "skey string, room double, cell array<long>, extra array<long>"
         )
         free = sizes.join(F.broadcast(table), "skey").where(
-            (F.col("size") > 0) & (F.col("size") <= F.col("room")) & ~_taken_part(F.col("at"))
+            (F.col("size") > 0) & ~_taken_part(F.col("at"))
+            & (F.col("size") < 2 * F.col("room") if closing else F.col("size") <= F.col("room"))
         )
-        best = free.groupBy("skey").agg(F.max(F.struct("size", "at")).alias("best")).collect()
+        pick = F.min if closing else F.max
+        best = free.groupBy("skey").agg(pick(F.struct("size", "at")).alias("best")).collect()
         found = {r["skey"]: r["best"] for r in best}
         for plan in parts:
             if plan.key in found:
@@ -199,8 +202,8 @@ def mix(
     Size: words of the text, 0 for a null one. Sources by code point, null last, take the weights
     in turn and share ``share`` times all words; a target stops at ``cap`` times its source's
     words, the excess is reshared by weight. ``draws`` has an entry ``(pass, shard, place)`` for
-    each time that the mix takes the document. The words taken stay below the target by
-    less than the smallest document left out, as a rule; a document is taken no more often than ``cap`` rounded up. Reruns
+    each time that the mix takes the document. The words taken differ from the target by
+    less than half of the smallest document left out, as a rule; a document is taken no more often than ``cap`` rounded up. Reruns
     agree: everything follows from seed, key, text and the words of each source. Rows equal in key
     and text share a fate. A document without words is drawn like any other and adds nothing. An
     empty table gives an empty result. The driver holds one line per source.
