@@ -8,9 +8,16 @@ from .common import table
 from .line_dedup import drop_repeated_lines
 from .mixing import mix
 from .ngram_join import near_duplicate_classes
+from .robust_outliers import robust_quality
 from .spot_signatures import fingerprints_with_edit
 
 
+def op1_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust distances per language and source, for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return robust_quality(docs).drop("n_lines")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -40,6 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_robust_quality": op1_robust_quality,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_mixing": op5_mixing,
     "op9_spotsigs": op9_spotsigs,
