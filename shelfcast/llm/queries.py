@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .html_content import main_text
 from .line_dedup import drop_repeated_lines
 from .mixing import mix
 from .ngram_join import near_duplicate_classes
 from .robust_outliers import robust_quality
 from .spot_signatures import fingerprints_with_edit
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +35,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, by a model of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).drop("text")
+
+
+def op7_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spot-signature fingerprints of every text and of its edited text."""
     return fingerprints_with_edit(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -50,6 +64,8 @@ QUERIES = {
     "op1_robust_quality": op1_robust_quality,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
+    "op7_tag_paths": op7_tag_paths,
     "op9_spotsigs": op9_spotsigs,
     "op10_line_dedup": op10_line_dedup,
 }
