@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .html_content import main_text
+from .lattice_lm import lattice_scores
 from .line_dedup import drop_repeated_lines
 from .mixing import mix
 from .ngram_join import near_duplicate_classes
 from .robust_outliers import robust_quality
+from .sentencepieces import encode_documents
 from .spot_signatures import fingerprints_with_edit
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -20,11 +22,21 @@ def op1_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_quality(docs).drop("n_lines")
 
 
+def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marginal log probability of every text over all its segmentations."""
+    return lattice_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and whether decoding gives the text back."""
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source: 150 % of all words at weights 5, 2, 1, repeating."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -62,7 +74,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_robust_quality": op1_robust_quality,
+    "op2_subword_lattice": op2_subword_lattice,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_tag_paths": op7_tag_paths,
