@@ -1,16 +1,68 @@
-"""Cleans and mixes the documents, one operator per stage."""
+"""Cleans and mixes the documents, one operator per stage: toxicity, shared lines, near duplicates,
+mixing, encoding. Each stage works on all rows that the one before it kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
 
-STAGES: list = []
-#: Toxicity, mixing and encoding rest on fitted models and seeded hashes, which SQL can't express.
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from shelfcast.llm.common import shared_folder
+from shelfcast.llm.line_dedup import drop_repeated_lines
+from shelfcast.llm.mixing import dealt, mix
+from shelfcast.llm.ngram_join import near_duplicate_classes
+from shelfcast.llm.sentencepieces import encode_documents
+from shelfcast.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are toxic rather than not go; the model is fitted on the labelled ones."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model).where(~F.col("toxic")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents or more share go; n_chars follows the text. Documents stay."""
+    kept = drop_repeated_lines(docs, min_docs=10, keep="none")
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays, that with the least doc_id; rows without words, or with a
+    null doc_id, stay."""
+    classes = near_duplicate_classes(docs.select("doc_id", "text"))
+    gone = classes.where((F.col("component_id") < F.col("doc_id"))).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources, a row for each time that a document is drawn, shuffled by shard."""
+    return dealt(mix(docs)).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of every drawn document."""
+    return encode_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding", encoding),
+]
+#: Toxicity, mixing and encoding rest on a fitted model, seeded hashes and a vocabulary file, which
+#: SQL can't express; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each stage's result is written as Parquet to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .edit_counts import edited_counts
 from .html_content import main_text
 from .lattice_lm import lattice_scores
 from .line_dedup import drop_repeated_lines
@@ -59,6 +60,13 @@ def op7_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits."""
+    counted = edited_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    edited = F.sha2(F.col("edited_text"), 256).alias("edited_sha256")
+    return counted.select("*", edited).drop("text", "edited_text")
+
+
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spot-signature fingerprints of every text and of its edited text."""
     return fingerprints_with_edit(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -80,6 +88,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_tag_paths": op7_tag_paths,
+    "op8_edit_counts": op8_edit_counts,
     "op9_spotsigs": op9_spotsigs,
     "op10_line_dedup": op10_line_dedup,
 }
