@@ -52,9 +52,10 @@ INVENTORY_CTE = """inventory AS (
   FROM part
   CROSS JOIN range(0, 4) AS store(i)
   CROSS JOIN range(0, 8) AS week(w)
-  JOIN supplier
-    ON s_suppkey = (p_partkey + i * ((SELECT count(*) FROM supplier) // 4))
-                   % (SELECT count(*) FROM supplier)
+  JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS store_number
+        FROM supplier WHERE s_suppkey IS NOT NULL) AS stores
+    ON store_number = (p_partkey + i * ((SELECT count(s_suppkey) FROM supplier) // 4))
+                      % (SELECT count(s_suppkey) FROM supplier)
 ), latest AS (
   SELECT * FROM inventory WHERE snapshot_date = (SELECT max(snapshot_date) FROM inventory)
 )"""
@@ -397,6 +398,41 @@ def _checks(*differences: str) -> str:
     return f"WITH {ctes}\n" + "\nUNION ALL\n".join(differences)
 
 
+# The same questions answered in another way, so that a check compares two statements.
+_VOLUME_AGAIN = (
+    "SELECT warehouse_id, total_shipped FROM (SELECT warehouse_id, sum(CASE WHEN order_status = "
+    "'Delivered' THEN quantity END) AS total_shipped FROM shipments GROUP BY 1) "
+    "WHERE total_shipped IS NOT NULL"
+)
+_FILL_AGAIN = (
+    "SELECT product_category, sum(delivered)::DOUBLE * 100 / count(*) AS fill_rate FROM ("
+    "SELECT product_category, order_id, max(CASE WHEN order_status = 'Delivered' THEN 1 ELSE 0 END) "
+    "AS delivered FROM shipments WHERE order_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1"
+)
+_REVENUE_AGAIN = (
+    "SELECT destination_region, sum(amount)::DECIMAL(38,2) AS total_revenue FROM ("
+    "SELECT destination_region, order_date, sum(CASE WHEN order_status = 'Delivered' THEN "
+    "quantity * unit_price END) AS amount FROM shipments GROUP BY 1, 2) GROUP BY 1"
+)
+_BRIEF_AGAIN = (
+    "SELECT product_sku, product_name, warehouse_id, warehouse_name, quantity_on_hand, "
+    "reorder_point FROM inventory WHERE snapshot_date = DATE '2001-07-25' "
+    "AND NOT quantity_on_hand > reorder_point"
+)
+_VALUE_AGAIN = (
+    "SELECT warehouse_id, warehouse_name, sum(v)::DECIMAL(38,2) AS total_value FROM ("
+    "SELECT warehouse_id, warehouse_name, product_sku, sum(quantity_on_hand * unit_cost) AS v "
+    "FROM latest GROUP BY 1, 2, 3) GROUP BY 1, 2"
+)
+_LEAD_AGAIN = (
+    "SELECT product_sku, product_name, warehouse_name, quantity_on_hand, reorder_point, "
+    "lead_time_days FROM latest EXCEPT ALL SELECT product_sku, product_name, warehouse_name, "
+    "quantity_on_hand, reorder_point, lead_time_days FROM latest WHERE quantity_on_hand > reorder_point"
+)
+_ACCURACY_AGAIN = (
+    "SELECT product_category, round(100 - sum(forecast_error_pct) / count(forecast_error_pct), 1) "
+    "AS accuracy_pct FROM forecasts GROUP BY 1"
+)
 _shipment_types = {f.name: f.type for f in SHIPMENTS.fields}
 
 ORACLES: dict[str, str] = {
@@ -526,18 +562,40 @@ ORACLES: dict[str, str] = {
     "format_profile_shipments": _format_profile(
         SHIPMENTS_CTE, "shipments", FORMAT_COLUMNS[SHIPMENTS.table], _shipment_types
     ),
+    "format_profile_inventory": _format_profile(
+        INVENTORY_CTE, "inventory", FORMAT_COLUMNS[INVENTORY.table],
+        {f.name: f.type for f in INVENTORY.fields},
+    ),
+    "format_profile_forecasts": _format_profile(
+        FORECASTS_CTE, "forecasts", FORMAT_COLUMNS[FORECASTS.table],
+        {f.name: f.type for f in FORECASTS.fields},
+    ),
+    "fill_rate_in_months": _on_shipments(
+        "SELECT product_category, "
+        "count(DISTINCT CASE WHEN order_status = 'Delivered' THEN order_id END)::DOUBLE * 100 "
+        "/ nullif(count(DISTINCT order_id), 0) AS fill_rate, "
+        "count(DISTINCT order_id) AS total_orders "
+        "FROM shipments WHERE order_date >= DATE '1995-03-01' AND order_date < DATE '1996-03-01' "
+        "GROUP BY product_category"
+    ),
+    "answer_check_near_miss": _on_supply(
+        "SELECT 'volume_by_warehouse' AS question, count(*) AS missing_rows, count(*) AS extra_rows, "
+        f"false AS matches FROM ({_VOLUME}) UNION ALL "
+        f"SELECT 'fill_rate_by_category', 0, count(*), false FROM ({_FILL}) UNION ALL "
+        f"SELECT 'inventory_value_by_warehouse', count(*), count(*), false FROM ({_VALUE})"
+    ),
     "answer_check": _checks(
-        _difference("volume_by_warehouse", _VOLUME, _VOLUME),
-        _difference("fill_rate_by_category", _FILL, _FILL),
-        _difference("revenue_by_region", _REVENUE, _REVENUE),
+        _difference("volume_by_warehouse", _VOLUME_AGAIN, _VOLUME),
+        _difference("fill_rate_by_category", _FILL_AGAIN, _FILL),
+        _difference("revenue_by_region", _REVENUE_AGAIN, _REVENUE),
     ),
     "answer_check_inventory": _checks(
-        _difference("below_reorder_brief", _BRIEF, _BRIEF),
-        _difference("inventory_value_by_warehouse", _VALUE, _VALUE),
-        _difference("reorder_by_lead_time", _LEAD, _LEAD),
+        _difference("below_reorder_brief", _BRIEF_AGAIN, _BRIEF),
+        _difference("inventory_value_by_warehouse", _VALUE_AGAIN, _VALUE),
+        _difference("reorder_by_lead_time", _LEAD_AGAIN, _LEAD),
     ),
     "answer_check_forecasts": _checks(
-        _difference("forecast_accuracy_brief", _ACCURACY, _ACCURACY),
+        _difference("forecast_accuracy_brief", _ACCURACY_AGAIN, _ACCURACY),
     ),
     "answer_check_wrong": _checks(
         _difference("volume_by_warehouse", _VOLUME_OF_ALL, _VOLUME),

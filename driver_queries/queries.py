@@ -54,6 +54,15 @@ def fill_rate_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fill_rate_in_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on a dimension that the query does not group by."""
+    needed = ["order_id", "order_date", "product_category", "order_status"]
+    return SHIPMENT_METRICS.on(adapters.shipments(spark, sf_dir, needed)).query(
+        ["fill_rate", "total_orders"], by=["product_category"],
+        where="order_month between date'1995-03-01' and date'1996-02-01'",
+    )
+
+
 def revenue_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses.revenue_by_region(
         adapters.shipments(
@@ -360,6 +369,16 @@ def format_profile_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.format_profile(adapters.shipments(spark, sf_dir, columns), columns)
 
 
+def format_profile_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = FORMAT_COLUMNS[INVENTORY.table]
+    return dictionary.format_profile(adapters.inventory(spark, sf_dir), columns)
+
+
+def format_profile_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = FORMAT_COLUMNS[FORECASTS.table]
+    return dictionary.format_profile(adapters.forecasts(spark, sf_dir), columns)
+
+
 CHECKED_SHIPMENT_COLUMNS = [
     "order_id", "product_category", "quantity", "unit_price", "warehouse_id",
     "destination_region", "order_status",
@@ -383,7 +402,14 @@ def answer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(snippet("sales").column())
         .withColumnRenamed("gross_revenue", "total_revenue"),
     }
-    return check_answers(answers, {SHIPMENTS.table: shipments})
+    needed = {
+        "volume_by_warehouse": ["quantity", "warehouse_id", "order_status"],
+        "fill_rate_by_category": ["order_id", "product_category", "order_status"],
+        "revenue_by_region": ["quantity", "unit_price", "destination_region", "order_status"],
+    }
+    return check_answers(
+        answers, lambda question: {SHIPMENTS.table: adapters.shipments(spark, sf_dir, needed[question])}
+    )
 
 
 def answer_check_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,11 +469,35 @@ def answer_check_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_answers(answers, {SHIPMENTS.table: shipments, INVENTORY.table: inventory})
 
 
+def answer_check_near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that are nearly right: halves in a column of whole numbers, every row twice, a value
+    as text."""
+    shipments = adapters.shipments(
+        spark, sf_dir, ["product_category", "quantity", "warehouse_id", "order_status", "order_id"]
+    )
+    volume = analyses.volume_by_warehouse(shipments)
+    rates = analyses.fill_rate_by_category(shipments)
+    inventory = adapters.inventory(spark, sf_dir)
+    value = analyses.inventory_value_by_warehouse(inventory)
+    return check_answers(
+        {
+            "volume_by_warehouse": volume.withColumn("total_shipped", F.col("total_shipped") + F.lit(0.5).cast("double")),
+            "fill_rate_by_category": rates.unionAll(rates),
+            "inventory_value_by_warehouse": value.withColumn("total_value", F.col("total_value").cast("string")),
+        },
+        {SHIPMENTS.table: shipments, INVENTORY.table: inventory},
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         fill_rate_by_category,
+        fill_rate_in_months,
         revenue_by_region,
+        format_profile_inventory,
+        format_profile_forecasts,
+        answer_check_near_miss,
         shipment_metrics_by_month,
         shipment_metrics_global,
         shipment_metrics_by_product,

@@ -4,32 +4,81 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
-def row_differences(actual: DataFrame, expected: DataFrame) -> DataFrame:
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _common_type(one: T.DataType, two: T.DataType) -> T.DataType | None:
+    """The type in which both can be compared without losing a difference; None if there is none."""
+    if one == two:
+        return one
+    if isinstance(one, _WHOLE) and isinstance(two, _WHOLE):
+        return T.LongType()
+    if isinstance(one, T.NumericType) and isinstance(two, T.NumericType):
+        return T.DoubleType()
+    return None
+
+
+def _comparable(actual: DataFrame, expected: DataFrame) -> dict[str, T.DataType] | None:
+    """Common types by column, or None where the columns cannot be compared."""
+    found = {f.name: f.dataType for f in actual.schema.fields}
+    wanted = {f.name: f.dataType for f in expected.schema.fields}
+    if found.keys() != wanted.keys():
+        return None
+    common = {name: _common_type(found[name], wanted[name]) for name in expected.columns}
+    return None if None in common.values() else common
+
+
+def row_differences(
+    actual: DataFrame, expected: DataFrame, digits: int | None = None
+) -> DataFrame:
     """Rows whose number differs, with ``surplus`` = times in actual minus times in expected.
 
-    Each side shrinks to its distinct rows and their number before the two meet: equal rows
-    collapse before their one shuffle, the union keeps that layout for the last aggregation,
-    and a sort at the end of an answer is dropped by the optimizer. ``expected`` decides
-    column order and types.
+    Columns of differing number types are compared in the wider one. With ``digits`` floating
+    numbers are rounded to so many places on both sides. Each side shrinks to its distinct rows
+    and their number before the two meet: equal rows collapse before their one shuffle, the union
+    keeps that layout for the last aggregation, and a sort at the end of an answer is dropped by
+    the optimizer.
     """
-    columns = expected.columns
-    if sorted(actual.columns) != sorted(columns):
-        raise ValueError(f"columns differ: {sorted(actual.columns)} and {sorted(columns)}")
-    typed = actual.select(*[F.col(f.name).cast(f.dataType) for f in expected.schema.fields])
+    common = _comparable(actual, expected)
+    if common is None:
+        raise ValueError(f"columns differ: {actual.dtypes} and {expected.dtypes}")
+
+    def typed(df: DataFrame) -> DataFrame:
+        columns = {c: F.col(c).cast(kind) for c, kind in common.items()}
+        for c, kind in common.items():
+            if digits is not None and isinstance(kind, (T.DoubleType, T.FloatType)):
+                columns[c] = F.round(columns[c], digits)
+        return df.select(*[column.alias(c) for c, column in columns.items()])
+
     times = F.count(F.lit(1))
-    found = typed.groupBy(*columns).agg(times.alias("__times"))
-    wanted = expected.groupBy(*columns).agg((-times).alias("__times"))
-    surplus = found.unionAll(wanted).groupBy(*columns).agg(F.sum("__times").alias("surplus"))
+    found = typed(actual).groupBy(*common).agg(times.alias("__times"))
+    wanted = typed(expected).groupBy(*common).agg((-times).alias("__times"))
+    surplus = found.unionAll(wanted).groupBy(*common).agg(F.sum("__times").alias("surplus"))
     return surplus.where(F.col("surplus") != 0)
 
 
-def difference_counts(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row: ``missing_rows`` (expected, not found), ``extra_rows`` and ``matches``."""
+def difference_counts(
+    actual: DataFrame, expected: DataFrame, digits: int | None = None
+) -> DataFrame:
+    """One row: ``missing_rows`` (expected, not found), ``extra_rows`` and ``matches``.
+
+    An answer with other columns, or with a column whose type can't be compared, doesn't match:
+    all expected rows are missing and all given ones extra.
+    """
+    rows = F.count(F.lit(1))
+    if _comparable(actual, expected) is None:
+        none = F.lit(0).cast("long")
+        missing = expected.agg(rows.alias("missing_rows"), none.alias("extra_rows"))
+        extra = actual.agg(none.alias("missing_rows"), rows.alias("extra_rows"))
+        both = missing.unionByName(extra).agg(
+            F.sum("missing_rows").alias("missing_rows"), F.sum("extra_rows").alias("extra_rows")
+        )
+        return both.withColumn("matches", F.lit(False))
     surplus = F.col("surplus")
-    counted = row_differences(actual, expected).agg(
+    counted = row_differences(actual, expected, digits).agg(
         F.coalesce(F.sum(F.greatest(-surplus, F.lit(0))), F.lit(0)).alias("missing_rows"),
         F.coalesce(F.sum(F.greatest(surplus, F.lit(0))), F.lit(0)).alias("extra_rows"),
     )
@@ -52,7 +101,7 @@ class Comparison:
 def compare(actual: DataFrame, expected: DataFrame) -> Comparison:
     """Compare names, types and rows; row and column order do not count."""
     types = [{f.name: f.dataType for f in df.schema.fields} for df in (actual, expected)]
-    if set(types[0]) != set(types[1]):
+    if _comparable(actual, expected) is None:
         return Comparison(False, expected.count(), actual.count())
     counts = difference_counts(actual, expected).first()
     return Comparison(types[0] == types[1], counts["missing_rows"], counts["extra_rows"])

@@ -7,6 +7,7 @@ formed from terms at the grain asked for, never averaged from finer ratios.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -126,8 +127,9 @@ class MetricView:
     ) -> DataFrame:
         """``measures`` for each combination of the dimensions ``by``.
 
-        ``where`` filters rows by source columns and the dimensions ``by``; ``having`` filters
-        the result. The source needs only the columns that the query touches.
+        ``where`` filters rows by source columns and by any dimension, grouped by or not;
+        ``having`` filters the result. A dimension is what the view defines, whatever the source
+        has under its name. The source needs only the columns that the query touches.
         ``order_by`` names result columns, with a leading ``-`` for descending order.
         ``as_of="latest"`` keeps only the source's newest date, which sums of stock levels
         need: added up over all snapshots they mean nothing.
@@ -140,10 +142,16 @@ class MetricView:
         self._check(by, self.dimensions, "dimension")
 
         df = self.source
-        derived = {d: F.expr(self.dimensions[d]) for d in by if d not in df.columns}
-        df = df.withColumns(derived)
         if as_of == "latest":
             df = at_latest(df, self.time_column)
+        named = set(re.findall(r"\w+", "" if where is None else str(where)))
+        df = df.withColumns(
+            {
+                name: F.expr(formula)
+                for name, formula in self.dimensions.items()
+                if formula != name and (name in by or name in named)
+            }
+        )
         if where is not None:
             df = df.where(where)
 

@@ -9,34 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from .ranges import range_bucket, range_cuts
 
-def range_cuts(df: DataFrame, column: str, buckets: int) -> list:
-    """Up to ``buckets - 1`` values that split ``column`` into ranges of similar size.
-
-    Returns at most ``buckets`` values to the driver, whatever the size of ``df``. The cuts
-    come from sampled range partitioning; they are plain values from here on, so a rank
-    built on them is exact and repeatable for any cuts, which only decide its balance.
-    """
-    if buckets < 2:
-        return []
-    firsts = (
-        df.select(column)
-        .where(F.col(column).isNotNull())
-        .repartitionByRange(buckets, column)
-        .groupBy(F.spark_partition_id())
-        .agg(F.min(column).alias("first"))
-        .collect()
-    )
-    return sorted(r["first"] for r in firsts)[1:]
-
-
-def range_bucket(column: str, cuts: Sequence) -> Column:
-    """Number of cuts at or below the value: an order-preserving bucket."""
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut <= F.col(column)))
+__all__ = ["global_rank", "range_bucket", "range_cuts"]
 
 
 def global_rank(

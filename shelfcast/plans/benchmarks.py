@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -22,17 +22,26 @@ BENCHMARKS = (
 
 
 def check_answers(
-    answers: Mapping[str, DataFrame], tables: Mapping[str, DataFrame]
+    answers: Mapping[str, DataFrame],
+    tables: Mapping[str, DataFrame] | Callable[[str], Mapping[str, DataFrame]],
+    parameters: Mapping[str, Mapping] | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """One row per answered benchmark: question, missing and extra rows, and whether it matches.
 
-    Row order does not count. All comparisons run as one lazy query.
+    Row order does not count. All comparisons run as one lazy query. ``tables`` may be a function
+    of the question, which gives it no more columns than it needs. ``parameters`` has the
+    arguments of a question's analysis. ``digits``: places that floating numbers must share.
     """
     unknown = sorted(set(answers) - set(BENCHMARKS))
     if unknown or not answers:
         raise ValueError(f"not benchmarks: {unknown}; the benchmarks are {BENCHMARKS}")
     checked = [
-        difference_counts(given, answer(name, tables)).select(
+        difference_counts(
+            given,
+            answer(name, tables(name) if callable(tables) else tables, **(parameters or {}).get(name, {})),
+            digits,
+        ).select(
             F.lit(name).alias("question"), "missing_rows", "extra_rows", "matches"
         )
         for name, given in answers.items()

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import error_pct, padded_key
+from ..operators.ranking import global_rank, range_bucket, range_cuts
 from .contracts import FORECASTS, INVENTORY, SHIPMENTS, conform
 from .spines import with_dates
 from .tables import parquet_table
@@ -97,16 +98,25 @@ def shipments(
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight weekly snapshots of each part in four of the suppliers' stores."""
+    """Eight weekly snapshots of each part in four of the suppliers' stores.
+
+    Suppliers are numbered by their keys, so gaps between keys lose no rows.
+    """
     part = parquet_table(spark, sf_dir, "part")
     supplier = parquet_table(spark, sf_dir, "supplier")
-    stores = supplier.agg(F.count(F.lit(1)).cast("bigint")).scalar()
+    known = supplier.where(F.col("s_suppkey").isNotNull())
+    cuts = range_cuts(known, "s_suppkey", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    numbered = global_rank(
+        known.withColumns({"__all": F.lit(0), "__range": range_bucket("s_suppkey", cuts)}),
+        "__number", "__all", "__range", ["s_suppkey"],
+    )
+    stores = known.agg(F.count(F.lit(1)).cast("bigint")).scalar()
     step = F.expr(f"__stores div {STORES_PER_PART}")
     stocked = (
         part.withColumn("__stores", stores)
         .withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(STORES_PER_PART - 1))))
         .withColumn("__store", (F.col("p_partkey") + F.col("__i") * step) % F.col("__stores"))
-        .join(supplier, F.col("__store") == F.col("s_suppkey"))
+        .join(numbered, F.col("__store") == F.col("__number") - 1)
     )
     last = FIRST_SNAPSHOT + dt.timedelta(weeks=SNAPSHOTS - 1)
     weekly = with_dates(stocked, "snapshot_date", FIRST_SNAPSHOT, last, "week").withColumns(

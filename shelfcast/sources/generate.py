@@ -40,7 +40,6 @@ IN_TRANSIT_AFTER = dt.date(2025, 11, 15)
 MODEL_VERSIONS = ((4, "v3.0"), (8, "v3.1"), (12, "v3.2"))
 
 GROUPS_PER_PARTITION = 4
-MOST_RANK_BUCKETS = 1024
 
 Profiles = Sequence[CategoryProfile]
 
@@ -86,13 +85,14 @@ def shipments(
     """Orders: a (weekday, product, warehouse) sells with its category's seasonal chance.
 
     Ids number the orders by (date, sku, warehouse). ``rank_buckets`` is the number of sku
-    ranges a day is cut into for that; it affects balance, never the ids. By default it is
-    chosen so that there are several (day, range) groups per shuffle partition.
+    ranges a day is cut into for that; it affects balance, never the ids, and has no ceiling.
+    By default it is chosen so that there are several (day, range) groups per shuffle partition.
+    One value per range comes to the driver.
     """
     keys = ("order_date", "product_sku", "warehouse_id")
     if rank_buckets is None:
         groups = GROUPS_PER_PARTITION * shuffle_width(products)
-        rank_buckets = min(MOST_RANK_BUCKETS, math.ceil(groups / ((end - start).days + 1)))
+        rank_buckets = math.ceil(groups / ((end - start).days + 1))
     cuts = range_cuts(products, "product_sku", rank_buckets)
     sold = products.select(
         "product_sku",

@@ -105,3 +105,20 @@ def test_forecasts_of_large_months_do_not_overflow(spark, sf_dir):
     )
     assert (row.confidence_lower, row.confidence_upper) == (78850003, 109250004)
     assert (row.forecast_error_pct, row.model_version) == (5.0, "v3.0")
+
+
+def test_supplier_numbering_loses_no_rows(spark, tmp_path):
+    """Equal row counts whether supplier keys start at 0, at 1, or have gaps."""
+    part = spark.range(12).selectExpr(
+        "id as p_partkey", "concat('n', id) as p_name", "'b' as p_brand", "'SMALL' as p_type",
+        "int(id % 5) as p_size", "double(id) as p_retailprice",
+    )
+    counts = set()
+    for name, key in (("zero", "id"), ("one", "id + 1"), ("gaps", "id * id * 3 + 7")):
+        folder = str(tmp_path / name)
+        part.write.parquet(f"{folder}/part.parquet")
+        spark.range(9).selectExpr(
+            f"{key} as s_suppkey", "concat('s', id) as s_name", "int(id) as s_nationkey", "0d as s_acctbal"
+        ).write.parquet(f"{folder}/supplier.parquet")
+        counts.add(adapters.inventory(spark, folder).count())
+    assert counts == {12 * 4 * 8}

@@ -81,6 +81,28 @@ def test_compare(spark):
         row_differences(df.select("k"), df)
 
 
+def test_types_are_compared_first(spark):
+    five = spark.createDataFrame([(5,)], "n int")
+    near = spark.createDataFrame([(5.7,)], "n double")
+    assert difference_counts(near, five).first() == (1, 1, False)
+    assert difference_counts(five.select(F.col("n").cast("long")), five).first() == (0, 0, True)
+    text = spark.createDataFrame([("five",), ("x",)], "n string")
+    assert difference_counts(text, five).first() == (1, 2, False)
+    assert difference_counts(five.withColumnRenamed("n", "m"), five).first() == (1, 1, False)
+    close = spark.createDataFrame([(5.000001,)], "n double")
+    assert difference_counts(close, five).first() == (1, 1, False)
+    assert difference_counts(close, five.select(F.col("n").cast("double")), digits=3).first() == (0, 0, True)
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 1024, 5000])
+def test_rank_with_many_ranges(spark, ranges):
+    df = spark.range(6000).selectExpr("int(id % 2) as lead", "lpad(string(id * 7 % 6000), 5, '0') as sku")
+    cuts = [f"{i:05d}" for i in range(1, ranges)]
+    ranked = global_rank(df.withColumn("part", range_bucket("sku", cuts)), "rank", "lead", "part", ["sku"])
+    plain = df.withColumn("rank", F.row_number().over(Window.orderBy("lead", "sku")))
+    assert ranked.select("sku", "rank").exceptAll(plain.select("sku", "rank")).count() == 0
+
+
 def test_value_dictionary(spark):
     df = spark.createDataFrame(
         [("x", 1, None), ("x", 2, "n"), ("y", 2, None)], "a string, b int, c string"
