@@ -16,7 +16,7 @@ from shelfcast.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are toxic rather than not go; the model is fitted on the labelled ones."""
+    """Toxic documents go; the model is fitted on the labelled ones."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).where(~F.col("toxic")).select(*docs.columns)
 

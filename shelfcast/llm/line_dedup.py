@@ -132,6 +132,8 @@ def drop_repeated_lines(
     """
     if keep not in ("first", "none"):
         raise ValueError(f"keep is 'first' or 'none', not {keep!r}")
+    if bits < _CHUNK_BITS:
+        raise ValueError(f"a filter has {_CHUNK_BITS} bits, as a power of two, at least")
     spark = docs.sparkSession
     filter_ = spark.sparkContext.broadcast(twice_seen(docs, text, bits))
     mask = (1 << bits) - 1

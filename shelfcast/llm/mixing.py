@@ -2,13 +2,14 @@
 
 A source's share of the mix is met by whole passes over its documents and a part of one more. A
 document's hash places it in one of 1,024 blocks of its source, so the order of blocks is a random
-permutation. The part takes leading blocks; the block where the target falls is cut further by
-more digits of the hash (three levels, each one aggregation over fixed-size cells), down to a few
-documents, and the gap that is left gets the documents that fill it best. All drawn blocks form exact quotas per source, which a splitting tree deals to the
-shards: a node's two halves get a draw from the multivariate hypergeometric distribution. Each
-source's permuted blocks are then handed out in order, disjointly, and a shard is shuffled locally.
-
-Only totals per source (and one cell of each) come to the driver.
+permutation. The part takes blocks in that order as long as they fit; one that doesn't fit is cut
+further by more digits of the hash (three levels, each one aggregation over fixed-size cells), and
+the gap that is left gets the documents that fill it best. All drawn blocks form exact quotas per
+source, which a splitting tree deals to the shards: a node's two halves get a draw from the
+multivariate hypergeometric distribution. Each source's permuted blocks are then handed out in
+order, disjointly, and a shard is shuffled locally.
+
+Only totals of each source and of its 1,024 cells come to the driver.
 """
 
 from __future__ import annotations
@@ -80,7 +81,8 @@ class _Plan:
     target: float
     passes: int
     left: float
-    #: Digits of the cell where the target falls, level by level; the part takes what lies before.
+    #: Of each level the cells that the part takes whole, and the digit of the one that is cut.
+    taken: list[list[int]] = field(default_factory=list)
     cell: list[int] = field(default_factory=list)
     extra: list[int] = field(default_factory=list)
     cuts: list[int] = field(default_factory=list)
@@ -143,20 +145,22 @@ def plan_mix(
         for row in cells:
             by_key.setdefault(row["skey"], []).append((row["cell"], row["words"]))
         for plan in parts:
-            last = 0
-            for cell, words in sorted(by_key[plan.key]):
-                last = cell
-                if words > plan.left:
-                    break
-                plan.left -= words
-            plan.cell.append(last)
+            fits, skipped = [], []
+            for cell, words in sorted(by_key.get(plan.key, [])):
+                if words <= plan.left:
+                    fits.append(cell)
+                    plan.left -= words
+                else:
+                    skipped.append((words, cell))
+            plan.taken.append(fits)
+            plan.cell.append(min(skipped)[1] if skipped else -1)
     for round_ in range(FILL_ROUNDS + 1 if parts else 0):
         closing = round_ == FILL_ROUNDS  # a document that goes beyond the target, but less far from it
-        gaps = [(p.key, p.left, p.cell, p.extra) for p in parts if p.left >= 1]
+        gaps = [(p.key, p.left, p.taken, p.cell, p.extra) for p in parts if p.left >= 1]
         if not gaps:
             break
         table = spark.createDataFrame(
-            gaps, "skey string, room double, cell array<long>, extra array<long>"
+            gaps, "skey string, room double, taken array<array<long>>, cell array<long>, extra array<long>"
         )
         free = sizes.join(F.broadcast(table), "skey").where(
             (F.col("size") > 0) & ~_taken_part(F.col("at"))
@@ -169,7 +173,7 @@ def plan_mix(
             if plan.key in found:
                 plan.left -= found[plan.key]["size"]
                 plan.extra.append(found[plan.key]["at"])
-    blocks = np.array([p.passes * _CELLS + (p.cell[0] + 1 if p.cell else 0) for p in plans], np.int64)
+    blocks = np.array([p.passes * _CELLS + (len(p.taken[0]) + 1 if p.taken else 0) for p in plans], np.int64)
     dealt = split_quotas(blocks, shards, seed)
     for plan, row in zip(plans, dealt, strict=True):
         plan.cuts = np.cumsum(row).tolist()
@@ -177,13 +181,12 @@ def plan_mix(
 
 
 def _taken_part(at: Column) -> Column:
-    """Whether the part of a pass holds a document: before the cell, or picked to fill the gap."""
-    cell, level = F.col("cell"), [_digit(at, i) for i in range(3)]
-    c = [F.get(cell, F.lit(i)) for i in range(3)]
-    before = (level[0] < c[0]) | (
-        (level[0] == c[0]) & ((level[1] < c[1]) | ((level[1] == c[1]) & (level[2] < c[2])))
-    )
-    return F.coalesce(before, F.lit(False)) | F.array_contains("extra", at)
+    """Whether the part of a pass holds a document: in a whole cell, or picked to fill the gap."""
+    cell, digit = F.col("cell"), [_digit(at, i) for i in range(3)]
+    taken = [F.coalesce(F.array_contains(F.get("taken", F.lit(i)), digit[i]), F.lit(False)) for i in range(3)]
+    same = [F.coalesce(digit[i] == F.get(cell, F.lit(i)), F.lit(False)) for i in range(2)]
+    part = taken[0] | (same[0] & (taken[1] | (same[1] & taken[2])))
+    return part | F.array_contains("extra", at)
 
 
 def mix(
@@ -219,13 +222,13 @@ def mix(
     table = spark.createDataFrame(
         [
             (
-                p.key, p.words, p.target, p.passes, p.cell or None, p.extra, p.cuts,
+                p.key, p.words, p.target, p.passes, p.taken, p.cell, p.extra, p.cuts,
                 [odd(p, n) for n in range(p.passes)],
             )
             for p in plans
         ],
-        "skey string, source_size long, target double, passes int, cell array<long>, extra array<long>, "
-        "cuts array<long>, odd array<long>",
+        "skey string, source_size long, target double, passes int, taken array<array<long>>, cell array<long>, "
+        "extra array<long>, cuts array<long>, odd array<long>",
     )
     joined = rows.join(F.broadcast(table), "skey", "left")
     block = _digit(F.col("at"), 0)
@@ -236,7 +239,9 @@ def mix(
         return F.struct(number.alias("pass"), shard.alias("shard"), order.alias("place"))
 
     whole = F.transform("odd", lambda a, n: draw(n, n * _CELLS + (block * a) % _CELLS))
-    last = F.col("passes") * _CELLS + F.least(block, F.get("cell", F.lit(0)))
+    among = F.array_position(F.get("taken", F.lit(0)), block)
+    place = F.when(among > 0, among - 1).otherwise(F.size(F.get("taken", F.lit(0))))
+    last = F.col("passes") * _CELLS + place
     part = F.when(_taken_part(F.col("at")), F.array(draw(F.col("passes"), last)))
     none = F.filter(whole, lambda _: F.lit(False))
     return joined.select(

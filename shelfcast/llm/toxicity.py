@@ -29,6 +29,8 @@ MOST_FEATURES, LEAST_DOCUMENTS, LEAST_GAIN = 4096, 3, 8.0
 GRADES = 3
 PENALTY, ROUNDS, RATE = 3e-5, 500, 0.1
 PREFIXES = (4, 5, 6)
+#: Probability of a grade of 1 or more from which a document counts as toxic.
+CHANCE = 0.3
 _STRIP = b".,;:!?\"'()[]{}"
 
 
@@ -208,7 +210,7 @@ def fit_toxicity(
 def score_toxicity(docs: DataFrame, model: SeverityModel, text: str = "text", most_cached: int = 300_000) -> DataFrame:
     """Every row of ``docs`` with ``expected_severity``, ``severity`` (the nearest grade) and ``toxic``.
 
-    ``toxic``: a grade of 1 or more is more likely than not. A null or empty text has no features.
+    ``toxic``: a grade of 1 or more has a probability of ``CHANCE`` or more. A null or empty text has no features.
     Columns of these names are replaced, others stay. Memory: the model and a bounded cache of words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -240,7 +242,7 @@ def score_toxicity(docs: DataFrame, model: SeverityModel, text: str = "text", mo
                 yield pa.record_batch(
                     [
                         piece.column(1), pa.array(severity),
-                        pa.array(np.rint(severity).astype(np.int32)), pa.array(chance >= 0.5),
+                        pa.array(np.rint(severity).astype(np.int32)), pa.array(chance >= CHANCE),
                     ],
                     names=["row", "expected_severity", "severity", "toxic"],
                 )
