@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import STEP_BYTES, column, pieces, text_bytes
+from .common import STEP_BYTES, column, pieces, text_bytes, written
 
 #: The fit looks at this many labelled documents at most, those with the least hashes of their key.
 MOST_LABELLED = 20_000
@@ -161,6 +161,10 @@ def fit_toxicity(
     counted = known.mapInArrow(count, "f string, pos long, neg long").groupBy("f").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
+    # read twice below; only features that the model may use are written
+    counted = written(
+        counted.where(f"f = '' or pos > 0 and pos + neg >= {LEAST_DOCUMENTS}"), "features"
+    )
     total = counted.where("f = ''").first()
     if total is None or not total["pos"] or not total["neg"]:
         share = 0 if total is None or not total["pos"] else 1
