@@ -188,9 +188,13 @@ def _estimate(group: str, total: int, part: pd.DataFrame, factor: float) -> dict
 def estimates(rows: DataFrame) -> DataFrame:
     """Centre and inverse scatter of each group of ``(grp, x)``; a group has few hundred bins."""
     x = [F.get("x", F.lit(i)) for i in range(DIMENSIONS)]
-    middles = rows.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.percentile_approx(v, 0.5, 10000) for v in x]).alias("centre"),
+    # written, so that the size of this one line per group is known before the rows would be shuffled
+    middles = written(
+        rows.groupBy("grp").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.array(*[F.percentile_approx(v, 0.5, 10000) for v in x]).alias("centre"),
+        ),
+        "middles",
     )
     away = [F.abs(x[i] - F.get("centre", F.lit(i))) for i in range(DIMENSIONS)]
     spread = rows.join(middles, "grp").groupBy("grp").agg(
