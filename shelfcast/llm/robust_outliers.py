@@ -4,8 +4,9 @@ Each document gives a few counts; transformed, they are a vector. A group's cent
 from the half (``CORE``) of its documents that is most compact. The concentration steps run on all
 documents of all groups at once: a step sorts documents into bins of their present distance and
 keeps, for each group and bin, count, sums and products. The bins nearest the centre that hold the
-core give the next estimate. So a step is one aggregation that combines before its shuffle, and a
-group with a third of all documents is no bottleneck.
+core give the next estimate, the last of them by the share of its weight that the core still needs.
+So a step is one aggregation that combines before its shuffle, and a group with a third of all
+documents is no bottleneck.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import STEP_BYTES, column, mixed, pieces, text_bytes, written
 from .shingles import word_hashes
 
-#: Share of a group's documents that its estimate rests on.
-CORE = 0.75
+#: Share of a group's documents that its estimate rests on: of n in p dimensions, (n + p + 1) / 2.
+CORE = 0.5
 STEPS = 6
 #: A group with fewer documents uses its language's estimate, a small language that of all.
 LEAST_GROUP = 50
@@ -210,14 +211,14 @@ def estimates(rows: DataFrame) -> DataFrame:
         spread.select("grp", "n", "centre", F.array(*inverse).alias("inverse"), F.lit(None).cast("double").alias("logdet")),
         "mcd_start",
     )
-    core = consistency(CORE, DIMENSIONS)
 
     def concentrate(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
         bins = bins.sort_values("bin")
         total = bins["n"].sum()
-        inner = bins[(bins["n"].cumsum() - bins["n"]) < CORE * total]
-        factor = core if len(inner) < len(bins) else 1.0
-        return pd.DataFrame([_estimate(key[0], total, inner, factor)])
+        core = min(total, CORE * (total + DIMENSIONS + 1))
+        share = ((core - (bins["n"].cumsum() - bins["n"])) / bins["n"]).clip(0, 1)
+        inner = bins[["n", *_SUMS, *_PRODUCTS]].mul(share, axis=0)
+        return pd.DataFrame([_estimate(key[0], total, inner, consistency(core / total, DIMENSIONS))])
 
     def reweigh(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([_estimate(key[0], part["total"].iloc[0], part, 1.0)])

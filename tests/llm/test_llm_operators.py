@@ -196,6 +196,17 @@ def test_quality(spark):
     assert abs(chi_square_quantile(0.975, 5) - 12.8325) < 1e-3
 
 
+def test_quality_with_a_third_of_copies(spark):
+    random.seed(2)
+    clean = [" ".join(f"{random.choice('abcdefg') * random.randrange(3, 8)}{random.randrange(999)}" for _ in range(random.randrange(60, 300))) for _ in range(134)]
+    copy = " ".join(f"abcde{i}*" for i in range(150))
+    rows = [(i, t, "en", "s") for i, t in enumerate(clean + [copy] * 66)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = robust_quality(docs).orderBy("doc_id").collect()
+    assert not any(r["base_failed"] for r in got)
+    assert [r["kept"] for r in got] == [True] * 134 + [False] * 66
+
+
 # --- subword lattices ---
 
 
