@@ -1,7 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as text nodes, each with its root-to-leaf path of tags (and class names). All nodes
-of a path are judged together: their mean length of text outside links, raised by punctuation. The
+of a path and prior are judged together (so never visible text with hidden): their mean length of
+text outside links, raised by punctuation. The
 ratios are smoothed over neighbouring nodes, fused with what the path's own tags say (nothing
 for menus, footers, adverts, forms and the like, more inside an article), and paths below a share
 of the page's best are left out.
@@ -137,8 +138,8 @@ def text_nodes(page: str) -> Iterator[Node]:
 def extract(page: str) -> str:
     """The main text: its blocks in page order, one line each."""
     nodes = [n for n in text_nodes(page) if n.text]
-    paths: dict[tuple[str, ...], int] = {}
-    which = np.array([paths.setdefault(n.path, len(paths)) for n in nodes], np.int64)
+    paths: dict[tuple[tuple[str, ...], float], int] = {}
+    which = np.array([paths.setdefault((n.path, n.prior), len(paths)) for n in nodes], np.int64)
     if not len(which):
         return ""
     plain = np.array([0 if n.link else len(_SPACE.sub(" ", n.text).strip()) for n in nodes], float)
@@ -156,8 +157,7 @@ def extract(page: str) -> str:
     padded = np.concatenate([each[:1], each, each[-1:]])
     smooth = SMOOTHING[0] * padded[:-2] + SMOOTHING[1] * padded[1:-1] + SMOOTHING[2] * padded[2:]
     mean = np.bincount(which[solid], smooth, len(paths)) / np.maximum(np.bincount(which[solid], minlength=len(paths)), 1)
-    prior = np.zeros(len(paths))
-    prior[which] = [n.prior for n in nodes]
+    prior = np.array([prior for _, prior in paths])
     # a link inside a paragraph is the paragraph's; a path of links alone is none
     fused = prior * mean * np.where(prior >= ARTICLE, 1.0, 1 - density)
     best = fused.max()

@@ -414,6 +414,17 @@ def test_main_text(tag):
         assert got.startswith("The <title>\n")
 
 
+@pytest.mark.parametrize("off", ["hidden", 'aria-hidden="true"', 'style="display: none"', 'class="a b c sidebar"'])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_hidden_parts_of_a_path(tag, off):
+    seen, not_seen = "<p class='a b c x'>A long text, that all can see.</p>", f"<p {off}>A long note, that no one sees.</p>"
+    if "class" not in off:
+        seen = seen.replace(" class='a b c x'", "")
+    for parts in ([seen, seen, not_seen], [not_seen, seen, seen], [seen, not_seen, seen]):
+        got = extract(f"<body><{tag}>{''.join(parts)}</{tag}></body>")
+        assert got == "A long text, that all can see.\nA long text, that all can see."
+
+
 def test_awkward_pages(spark):
     pages = [None, "", "plain text, no tags", "<p>a", "<<<>>>", "<p" + "x" * 1000, "<script>never closed", PAGE]
     df = spark.createDataFrame([(i, "u", p, "clash") for i, p in enumerate(pages)], "page_id long, url string, html string, Text string")
