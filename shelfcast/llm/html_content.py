@@ -5,7 +5,8 @@ of a path and prior are judged together (so never visible text with hidden): the
 text outside links, raised by punctuation. The
 ratios are smoothed over neighbouring nodes, fused with what the path's own tags say (nothing
 for menus, footers, adverts, forms and the like, more inside an article), and paths below a share
-of the page's best are left out.
+of the page's best are left out. An article with a path above it is kept whole, short blocks too,
+but for what its tags or names rule out.
 """
 
 from __future__ import annotations
@@ -57,13 +58,14 @@ SMOOTHING = (0.25, 0.5, 0.25)
 
 @dataclass
 class Node:
-    """A run of text: its path, its block's number, whether links hold it."""
+    """A run of text: its path, its block's number, whether links hold it, its article's number (0: none)."""
 
     path: tuple[str, ...]
     block: int
     text: str
     link: bool
     prior: float
+    article: int
 
 
 def _names(more: str) -> frozenset[str]:
@@ -74,13 +76,13 @@ def _names(more: str) -> frozenset[str]:
 def text_nodes(page: str) -> Iterator[Node]:
     """The page's text runs in order. Broken markup is read as browsers do: unknown end tags are
     skipped, a new block ends an open paragraph, what is open at the end ends there."""
-    stack: list[tuple[str, str, float, bool]] = []  # tag, path step, prior, link
-    block = at = 0
+    stack: list[tuple[str, str, float, bool, int]] = []  # tag, path step, prior, link, article
+    block = at = articles = 0
     lower = None
 
     def here(text: str) -> Node:
-        prior, link = (stack[-1][2], stack[-1][3]) if stack else (1.0, False)
-        return Node(tuple(s[1] for s in stack), block, text, link, prior)
+        prior, link, article = stack[-1][2:] if stack else (1.0, False, 0)
+        return Node(tuple(s[1] for s in stack), block, text, link, prior, article)
 
     while at < len(page):
         found = _TOKEN.search(page, at)
@@ -122,7 +124,7 @@ def text_nodes(page: str) -> Iterator[Node]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("li", "ul", "ol")), None)
             if depth is not None and stack[depth][0] == "li":
                 del stack[depth:]
-        prior, link = (stack[-1][2], stack[-1][3]) if stack else (1.0, False)
+        prior, link, article = stack[-1][2:] if stack else (1.0, False, 0)
         names = _names(more) if more else frozenset()
         inside = prior == ARTICLE
         if tag in _NOT_CONTENT or (tag == "header" and not inside):
@@ -131,8 +133,11 @@ def text_nodes(page: str) -> Iterator[Node]:
             prior = 0.0
         elif prior and (tag in ("article", "main") or "main" in names and tag == "div"):
             prior = ARTICLE
+            if not inside:  # one inside another is a part of it
+                articles += 1
+                article = articles
         step = tag + "".join(f".{n}" for n in sorted(names)[:3]) if names else tag
-        stack.append((tag, step, prior, link or tag == "a"))
+        stack.append((tag, step, prior, link or tag == "a", article))
 
 
 def extract(page: str) -> str:
@@ -162,9 +167,10 @@ def extract(page: str) -> str:
     fused = prior * mean * np.where(prior >= ARTICLE, 1.0, 1 - density)
     best = fused.max()
     chosen = (fused >= THRESHOLD * best) & (fused > 0)
+    articles = {n.article for n, path in zip(nodes, which.tolist(), strict=True) if chosen[path] and n.article}
     blocks: dict[int, list[str]] = {}
     for node, path in zip(nodes, which.tolist(), strict=True):
-        if chosen[path] or node.prior and node.block in blocks:
+        if chosen[path] or node.prior and (node.article in articles or node.block in blocks):
             blocks.setdefault(node.block, []).append(node.text)
     lines = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(line for line in lines if line)

@@ -425,6 +425,18 @@ def test_hidden_parts_of_a_path(tag, off):
         assert got == "A long text, that all can see.\nA long text, that all can see."
 
 
+@pytest.mark.parametrize("tag", ["article", "main", 'div class="main"'])
+def test_short_blocks_of_an_article(tag):
+    prose = "This is a sentence, of some length, with points. And so on, and on: it ends here!"
+    cells = [[str(10 * i + j) for j in range(3)] for i in range(1, 5)]
+    table = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in row) + "</tr>" for row in cells) + "</table>"
+    items = [f"{c * 5}" for c in "abcdefghijklmnopqrst"]
+    body = f"<p>{prose * 4}</p>{table}<p>{prose * 4}</p><ul>{''.join(f'<li>{i}</li>' for i in items)}</ul><aside>Ad</aside>"
+    page = f"<body><nav><a href=x>Home</a></nav><{tag}>{body}</{tag.split()[0]}><div><a href=y>More</a></div></body>"
+    want = [prose * 4, *(c for row in cells for c in row), prose * 4, *items]
+    assert extract(page).split("\n") == want
+
+
 def test_awkward_pages(spark):
     pages = [None, "", "plain text, no tags", "<p>a", "<<<>>>", "<p" + "x" * 1000, "<script>never closed", PAGE]
     df = spark.createDataFrame([(i, "u", p, "clash") for i, p in enumerate(pages)], "page_id long, url string, html string, Text string")
