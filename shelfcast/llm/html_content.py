@@ -168,9 +168,10 @@ def extract(page: str) -> str:
     best = fused.max()
     chosen = (fused >= THRESHOLD * best) & (fused > 0)
     articles = {n.article for n, path in zip(nodes, which.tolist(), strict=True) if chosen[path] and n.article}
+    taken = {n.block for n, path in zip(nodes, which.tolist(), strict=True) if chosen[path]}
     blocks: dict[int, list[str]] = {}
-    for node, path in zip(nodes, which.tolist(), strict=True):
-        if chosen[path] or node.prior and (node.article in articles or node.block in blocks):
+    for node in nodes:  # the block's other parts too, those before its chosen ones as well
+        if node.prior and (node.article in articles or node.block in taken):
             blocks.setdefault(node.block, []).append(node.text)
     lines = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(line for line in lines if line)

@@ -437,6 +437,15 @@ def test_short_blocks_of_an_article(tag):
     assert extract(page).split("\n") == want
 
 
+def test_links_that_open_a_paragraph():
+    one = "<p><a href=x>Spark</a> is an engine, for data of any size, as they say.</p>"
+    two = "<p><b><a href=y>It</a></b> runs, <a href=z>here</a> and there, on many machines. <a href=w>More</a></p>"
+    want = "Spark is an engine, for data of any size, as they say."
+    assert extract(f"<div>{one}</div>") == want
+    got = extract(f"<body><nav><a href=q>Home</a></nav><div>{one}{two}<p><span hidden>no</span></p></div></body>")
+    assert got == want + "\nIt runs, here and there, on many machines. More"
+
+
 def test_awkward_pages(spark):
     pages = [None, "", "plain text, no tags", "<p>a", "<<<>>>", "<p" + "x" * 1000, "<script>never closed", PAGE]
     df = spark.createDataFrame([(i, "u", p, "clash") for i, p in enumerate(pages)], "page_id long, url string, html string, Text string")
