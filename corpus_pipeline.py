@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfcast.llm.common import shared_folder
+from shelfcast.llm.common import shared_folder, written
 from shelfcast.llm.line_dedup import drop_repeated_lines
 from shelfcast.llm.mixing import dealt, mix
 from shelfcast.llm.ngram_join import near_duplicate_classes
@@ -28,11 +28,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that with the least doc_id; rows without words, or with a
-    null doc_id, stay."""
-    classes = near_duplicate_classes(docs.select("doc_id", "text"))
-    gone = classes.where((F.col("component_id") < F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class stays, that with the least doc_id; rows without words, or with a null
+    doc_id, stay.
+
+    A document is a doc_id with a text: rows that share a doc_id but not the text are judged one by
+    one (in a class the least 64-bit digest stays), of rows equal in both the least in all columns.
+    """
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("digest")))
+    named = docs.withColumn("own", own)
+    classes = near_duplicate_classes(named.select("own", "text"), key="own")
+    with_words = classes.where(F.col("own").isNotNull() & (F.col("n_shingles") > 0))
+    times = with_words.groupBy("own", "component_id").agg(F.count(F.lit(1)).alias("times"))
+    marks = times.select("own", (F.col("component_id") < F.col("own")).alias("gone"), "times")
+    marks = written(marks.where("gone or times > 1"), "marks")
+    plain = named.join(marks, "own", "left_anti").select(*docs.columns)
+    repeated = named.join(marks.where("not gone").select("own"), "own")
+    # combined before its shuffle, so a row repeated very often arrives once per task
+    single = repeated.groupBy("own").agg(F.min(F.struct(*docs.columns)).alias("doc"))
+    return plain.unionByName(single.select("doc.*"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

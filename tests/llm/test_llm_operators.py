@@ -532,3 +532,20 @@ def test_pipeline_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, folder)
     assert {r["doc_id"] for r in out.collect()} <= ids[2] and out.where("not round_trip").count() == 0
     assert shared_folder(spark)
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    random.seed(8)
+    a, b, c, d = (" ".join(random.choices([f"w{i}" for i in range(900)], k=60)) for _ in range(4))
+    rows = [(0, c), (1, a), (1, a), (1, a), (2, a), (3, b), (3, c), (4, b), (5, d), (5, d + " end"), (None, a), (None, a), (6, ""), (6, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", 0) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    fives = [x for x in left if x[0] == 5]
+    assert len(fives) == 1 and fives[0][1] in (d, d + " end")
+    want = [(0, c), (1, a), (3, b), (None, a), (None, a), (6, ""), (6, ""), (7, None)]
+    assert sorted(map(repr, (x for x in left if x[0] != 5))) == sorted(map(repr, want))
+    assert {r["source"] for r in got.where("doc_id = 1").collect()} == {"s1"}
