@@ -144,9 +144,15 @@ def edit(counter: Counter, tree: Tree, text: str, start: int, delete: int, inser
     tree.encoded += len(parts)
     for emptied in range(chunk + 1, last + 1):
         tree.put(emptied, 0, 0)
-    tree.put(chunk, at - begin, sum(counter.counts(parts)))
-    if tree.chars[chunk + tree.size] > 64 * CHUNK * 8:  # a leaf that has grown long is cut anew
-        rebuilt = build(whole := counter.split(new), counter.counts(whole))
+    counts = counter.counts(parts)
+    tree.put(chunk, at - begin, sum(counts))
+    # a leaf that has grown long is cut into chunks; its pre-tokens and their counts are at hand
+    if at - begin > 64 * CHUNK * 8 and len(parts) > CHUNK:
+        grown, leaves = build(parts, counts), []
+        for heap, new_heap in ((tree.chars, grown.chars), (tree.tokens, grown.tokens)):
+            old = heap[tree.size : tree.size + tree.n]
+            leaves.append(old[:chunk] + new_heap[grown.size : grown.size + grown.n] + old[chunk + 1 :])
+        rebuilt = Tree.of(*leaves)
         rebuilt.read, rebuilt.encoded = tree.read, tree.encoded
         tree.__dict__.update(rebuilt.__dict__)
     return new

@@ -482,6 +482,26 @@ def test_edits_against_full_recounts(spark):
     assert edited_counts(docs.limit(0)).count() == 0
 
 
+def test_a_grown_leaf_is_cut_without_splitting_the_text():
+    with open(RANKS, "rb") as file:
+        counter = Counter(file.read())
+    random.seed(5)
+    long = " ".join("ab" * 400 + str(i) for i in range(100))
+    short = " ".join(f"w{i}" for i in range(3000))
+    for text in (short, long):
+        parts = counter.split(text)
+        tree, whole = build(parts, counter.counts(parts)), counter.split
+        counter.split = None  # an edit splits touched regions alone
+        for put in [" word" * 5000, *[" x y"] * 10]:
+            start = random.randrange(len(text))
+            before = text
+            text = edit(counter, tree, text, start, 3, put)
+            assert text == before[:start] + put + before[start + 3 :] and tree.chars[1] == len(text)
+        counter.split = whole
+        assert tree.total() == sum(counter.counts(counter.split(text)))
+        assert tree.n > 100 and len(put) < tree.read
+
+
 # --- fingerprints ---
 
 
