@@ -9,7 +9,8 @@ source, which a splitting tree deals to the shards: a node's two halves get a dr
 multivariate hypergeometric distribution. Each source's permuted blocks are then handed out in
 order, disjointly, and a shard is shuffled locally.
 
-Only totals of each source and of its 1,024 cells come to the driver.
+Totals of each source and of up to 1,024 of its cells at each level come to the driver, and the cells
+taken are sent to all tasks; with very many small sources that nears one entry for each document.
 """
 
 from __future__ import annotations
@@ -209,7 +210,7 @@ def mix(
     less than half of the smallest document left out, as a rule; a document is taken no more often than ``cap`` rounded up. Reruns
     agree: everything follows from seed, key, text and the words of each source. Rows equal in key
     and text share a fate. A document without words is drawn like any other and adds nothing. An
-    empty table gives an empty result. The driver holds one line per source.
+    empty table gives an empty result. The driver holds one line per source, with its taken cells.
     """
     spark = docs.sparkSession
     rows = _placed(docs, key, text, source, seed)
