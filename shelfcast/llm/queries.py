@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .conversation_trie import prefix_trie, regrafted, turn_sequences
 from .edit_counts import edited_counts
 from .html_content import main_text
 from .lattice_lm import lattice_scores
@@ -80,6 +81,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each grafted onto the head of another of its five."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    c = F.col("conv_id")
+    head = F.crc32(c.cast("string").cast("binary")) % 9
+    return prefix_trie(regrafted(turn_sequences(rows), c - c % 5, head, 8))
+
+
 QUERIES = {
     "op1_robust_quality": op1_robust_quality,
     "op2_subword_lattice": op2_subword_lattice,
@@ -91,4 +100,5 @@ QUERIES = {
     "op8_edit_counts": op8_edit_counts,
     "op9_spotsigs": op9_spotsigs,
     "op10_line_dedup": op10_line_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
 }
