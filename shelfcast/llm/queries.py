@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import WORD, table, whole_text
 from .conversation_trie import prefix_trie, regrafted, turn_sequences
 from .edit_counts import edited_counts
 from .html_content import main_text
@@ -12,6 +12,7 @@ from .lattice_lm import lattice_scores
 from .line_dedup import drop_repeated_lines
 from .mixing import mix
 from .ngram_join import near_duplicate_classes
+from .periodic_runs import with_runs
 from .robust_outliers import robust_quality
 from .sentencepieces import encode_documents
 from .spot_signatures import fingerprints_with_edit
@@ -89,6 +90,38 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(regrafted(turn_sequences(rows), c - c % 5, head, 8))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs``, a text in ten with its later words replaced by repetitions of some of them.
+
+    With h the CRC of the decimal doc_id, h % 10 = 0 and g = h div 10: each of the n words from
+    a = g % n on becomes word a + (i - a) % p, where p = 1 + (n - a) div (3 + g % 8). A text
+    without words stays, and so does one without a doc_id.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    planted = docs.withColumns(
+        {"h": h, "words": F.when(h % 10 == 0, F.regexp_extract_all(whole_text(), F.lit(f"({WORD})"), F.lit(1)))}
+    ).withColumn("n", F.size("words"))
+    some = F.col("n") > 0
+    planted = planted.withColumn("a", F.when(some, F.expr("(h div 10) % n")).cast("int")).withColumn(
+        "p", F.when(some, F.expr("1 + (n - a) div (3 + (h div 10) % 8)")).cast("int")
+    )
+    moved = F.expr("transform(sequence(0, n - 1), i -> words[if(i < a, i, a + (i - a) % p)])")
+    return planted.select("doc_id", F.when(some, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal runs of at least 24 words and three periods of every text, and what is left of it."""
+    docs = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("best")
+    return with_runs(docs).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_robust_quality": op1_robust_quality,
     "op2_subword_lattice": op2_subword_lattice,
@@ -101,4 +134,5 @@ QUERIES = {
     "op9_spotsigs": op9_spotsigs,
     "op10_line_dedup": op10_line_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_periodic_runs": op12_periodic_runs,
 }
