@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import WORD, table, whole_text
 from .conversation_trie import prefix_trie, regrafted, turn_sequences
 from .edit_counts import edited_counts
 from .html_content import main_text
 from .lattice_lm import lattice_scores
+from .license_scan import with_licenses
 from .line_dedup import drop_repeated_lines
 from .mixing import mix
 from .ngram_join import near_duplicate_classes
@@ -122,6 +123,23 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every text."""
+    found = with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = found.withColumn("base", F.filter("notices", lambda n: n["phrase"]))
+
+    def labels(notices: str) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(notices, lambda n: n["label"]))), ",")
+
+    at = F.transform("base", lambda n: n["at"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
+        labels("base").alias("base_labels"), labels("notices").alias("labels"),
+        F.coalesce(F.array_max(F.transform("notices", lambda n: n["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
 QUERIES = {
     "op1_robust_quality": op1_robust_quality,
     "op2_subword_lattice": op2_subword_lattice,
@@ -135,4 +153,5 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_license_scan": op13_license_scan,
 }
