@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, column, whole_text
+from .common import column, whole_text
 
 #: What stands between words, once A-Z are in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -86,7 +86,9 @@ TEMPLATES = (*[Template.of(*p, phrase=True) for p in PHRASES], *[Template.of(*n)
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(text), BETWEEN), "")
+    """The words, A-Z in lower case. Lowering everything is faster than translating 26 letters; of
+    all other letters only the Kelvin sign would become an ASCII one, so another stands in for it."""
+    return F.array_remove(F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u2126"))), BETWEEN), "")
 
 
 def word_weights(docs: DataFrame, words: Sequence[str], text: str = "text") -> dict[str, int]:
@@ -139,7 +141,14 @@ def with_licenses(
     row = F.struct(F.lit(1).alias("x"), *[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     rows = docs.select(row.alias("row"), words_of(whole_text(text)).alias("words"))
     rows = rows.select("*", F.size("words").cast("long").alias("n_words"), F.array_intersect("words", needed).alias("has"))
-    rows = rows.withColumn("open", F.filter(index, lambda t: F.size(F.array_except(t["needed"], F.col("has"))) == 0))
+    # a lambda computes anew whatever it names; a column that is named twice is computed once
+    rows = rows.withColumn(
+        "open",
+        F.filter(
+            F.when(F.size("has") > 1, index).otherwise(F.slice(index, 1, 0)),
+            lambda t: F.size(F.array_except(t["needed"], F.col("has"))) == 0,
+        ),
+    )
 
     def probes(t: Column) -> Column:
         return F.array(F.get(t["words"], t["one"]), F.get(t["words"], t["two"]))
