@@ -267,7 +267,8 @@ def prefix_trie(sequences: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFra
     spark = sequences.sparkSession
     listed = written(sequences.withColumn("n", F.size("turns")), "sequences")
     n, turns = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    cuts = spark.sparkContext.broadcast(_cuts(listed, n, turns, shard_turns))
+    found = _cuts(listed, n, turns, shard_turns)
+    cuts = spark.sparkContext.broadcast(found)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,6 +292,8 @@ def prefix_trie(sequences: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFra
     sharded = listed.select("conv_id", "turns.id", "turns.size").mapInArrow(
         dealt, "shard int, conv_id long, key binary, sizes binary"
     )
+    # shard k to partition k, which AQE doesn't merge: a shard is much work for few bytes
+    sharded = sharded.repartitionById(len(found) + 1, "shard")
     parts = written(sharded.groupBy("shard").applyInArrow(nodes, _PARTS_DDL), "trie-parts")
     open_ = parts.where(F.col("node").isNotNull()).repartition("node").sortWithinPartitions("node", "first_end")
     merged = written(open_.mapInArrow(_merged, _PARTS_DDL), "trie-borders")

@@ -188,7 +188,6 @@ def with_licenses(
         )
 
     found = F.filter(F.flatten(F.transform("open", verified)), lambda n: n["share"] >= least)
-    return rows.select(
-        *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in added],
-        "n_words", found.alias("notices"),
+    return rows.select("row", "n_words", found.alias("notices")).select(
+        *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in added], *added
     )
