@@ -27,6 +27,11 @@ class Trie:
     piece: np.ndarray
     longest: int
 
+    @property
+    def plain(self) -> tuple:
+        """Arrays and a number, which a broadcast may hold; ``Trie(*plain)`` is the trie again."""
+        return self.base, self.check, self.piece, self.longest
+
     @staticmethod
     def of(pieces: dict[bytes, int]) -> Trie:
         """The trie of the given byte strings; the root is state 0."""

@@ -115,10 +115,11 @@ def fit_scores(words: DataFrame, ends: int, path: str) -> tuple[Trie, np.ndarray
     context = words.sparkSession.sparkContext
     end = 0.0
     for _ in range(ROUNDS):
-        shared = context.broadcast((trie, scores, bytes_))
+        shared = context.broadcast((trie.plain, scores, bytes_))
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trie_, scores_, bytes__ = shared.value
+            parts, scores_, bytes__ = shared.value
+            trie_ = Trie(*parts)
             total = np.zeros(n + 256)
             for batch in batches:
                 for begin in range(0, batch.num_rows, 20_000):
@@ -161,10 +162,11 @@ def lattice_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", pat
     distinct = seen["v"] + (ends > 0)
     tokens = (seen["n"] or 0) + ends
     trie, scores, bytes_, end = fit_scores(words, ends, path)
-    shared = spark.sparkContext.broadcast((trie, scores, bytes_))
+    shared = spark.sparkContext.broadcast((trie.plain, scores, bytes_))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie_, scores_, bytes__ = shared.value
+        parts, scores_, bytes__ = shared.value
+        trie_ = Trie(*parts)
         for batch in batches:
             for begin in range(0, batch.num_rows, 20_000):
                 part = batch.slice(begin, 20_000)

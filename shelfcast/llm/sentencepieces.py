@@ -32,6 +32,16 @@ class Encoder:
     known: Pieces
     trie: Trie
 
+    @property
+    def plain(self) -> tuple:
+        """Arrays, dicts and bytes, which a broadcast may hold; see ``of_plain``."""
+        known = self.known
+        return (known.normal, known.bytes_, known.scores, known.unknown, known.names), self.trie.plain
+
+    @staticmethod
+    def of_plain(known: tuple, trie: tuple) -> Encoder:
+        return Encoder(Pieces(*known), Trie(*trie))
+
     @staticmethod
     def load(path: str = MODEL, zipf: bool = True) -> Encoder:
         known = read_pieces(path, zipf)
@@ -101,14 +111,14 @@ def encode_documents(docs: DataFrame, path: str = MODEL, text: str = "text", zip
     or characters outside the vocabulary come back exactly. Columns of these names are replaced,
     others stay. Memory: a few megabytes of text at a time, and a bounded cache of units.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Encoder.load(path, zipf))
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder.load(path, zipf).plain)
     added = ("ids", "n_pieces", "n_byte_pieces", "round_trip")
     others = [c for c in docs.columns if c.lower() not in added]
     row = F.struct(F.lit(1).alias("x"), *[column(c).alias(f"c{i}") for i, c in enumerate(others)])
     packed = docs.select(text_bytes(text).alias("text"), row.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value
+        encoder = Encoder.of_plain(*shared.value)
         surface, cache = encoder.surface(), {}
         is_byte = np.zeros(len(surface) + 1, bool)
         is_byte[encoder.known.bytes_] = True
@@ -138,11 +148,11 @@ def encode_documents(docs: DataFrame, path: str = MODEL, text: str = "text", zip
 
 def decode_ids(df: DataFrame, ids: str = "ids", path: str = MODEL, name: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids; null ids give a null text, bytes that are no text a sign."""
-    shared = df.sparkSession.sparkContext.broadcast(Encoder.load(path))
+    shared = df.sparkSession.sparkContext.broadcast(Encoder.load(path).plain)
 
     @F.pandas_udf("string")
     def decoded(lists):
-        encoder = shared.value
+        encoder = Encoder.of_plain(*shared.value)
         surface = encoder.surface()
         return lists.map(
             lambda v: None if v is None else encoder.decode(np.asarray(v), surface).decode("utf-8", "replace")

@@ -217,13 +217,13 @@ def score_toxicity(docs: DataFrame, model: SeverityModel, text: str = "text", mo
     ``toxic``: a grade of 1 or more has a probability of ``CHANCE`` or more. A null or empty text has no features.
     Columns of these names are replaced, others stay. Memory: the model and a bounded cache of words.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     others = [c for c in docs.columns if c.lower() not in ("expected_severity", "severity", "toxic")]
     row = F.struct(F.lit(1).alias("x"), *[column(c).alias(f"c{i}") for i, c in enumerate(others)])
     packed = docs.select(text_bytes(text).alias("text"), row.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+        fitted = SeverityModel(*shared.value)
         weights = fitted.weights
         words: dict[bytes, tuple[str, ...]] = {}
         for batch in batches:
