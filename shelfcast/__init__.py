@@ -9,12 +9,12 @@ from .operators.views import (
     INVENTORY_METRICS,
     METRIC_VIEWS,
     SHIPMENT_METRICS,
-    metric_view,
 )
 from .plans.benchmarks import BENCHMARKS, check_answers
 from .plans.catalogue import QUESTIONS, answer
 from .sources.contracts import CONTRACTS, FORECASTS, INVENTORY, SHIPMENTS, Contract, conform
-from .sources.store import deploy, materialize, teardown
+from .sources.metric_catalog import drop_metric_view, list_metric_views, metric_view, save_metric_view
+from .sources.store import deploy, deployment_record, materialize, teardown
 from .sources.tables import catalog_tables
 
 __all__ = [
@@ -38,14 +38,18 @@ __all__ = [
     "compare",
     "conform",
     "deploy",
+    "deployment_record",
     "difference_counts",
     "distinct",
+    "drop_metric_view",
     "format_profile",
+    "list_metric_views",
     "materialize",
     "mean",
     "metric_view",
     "row_differences",
     "rows",
+    "save_metric_view",
     "snippet",
     "teardown",
     "total",

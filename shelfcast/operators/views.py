@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-
 from ..sources.contracts import FORECASTS, INVENTORY, SHIPMENTS
 from .metrics import Measure, MetricView, distinct, mean, rows, total
 
@@ -129,12 +127,3 @@ FORECAST_METRICS = MetricView(
 )
 
 METRIC_VIEWS = {v.name: v for v in (SHIPMENT_METRICS, INVENTORY_METRICS, FORECAST_METRICS)}
-
-
-def metric_view(spark: SparkSession, name: str) -> MetricView:
-    """The view called ``[catalog.]schema.<table>_metrics``, over that schema's table."""
-    schema, _, view = name.rpartition(".")
-    if view not in METRIC_VIEWS:
-        raise KeyError(f"no metric view called {view!r}; known: {sorted(METRIC_VIEWS)}")
-    table = view.removesuffix("_metrics")
-    return METRIC_VIEWS[view].on(spark.table(f"{schema}.{table}" if schema else table))

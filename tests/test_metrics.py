@@ -187,7 +187,10 @@ def test_source_needs_only_the_columns_used(shipments):
 
 def test_create_view(spark, shipments):
     SHIPMENT_METRICS.on(shipments).create_view("fills", ["fill_rate"], ["warehouse_id"])
-    assert spark.sql("select fill_rate from fills where warehouse_id = 'W2'").first()[0] == 100.0
+    try:
+        assert spark.sql("select fill_rate from fills where warehouse_id = 'W2'").first()[0] == 100.0
+    finally:
+        spark.catalog.dropTempView("fills")
 
 
 def test_bad_requests_are_named(shipments):
