@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from ..operators.compare import difference_counts
+from ..operators.compare import compared
 from .catalogue import answer
 
 BENCHMARKS = (
@@ -29,21 +28,16 @@ def check_answers(
 ) -> DataFrame:
     """One row per answered benchmark: question, missing and extra rows, and whether it matches.
 
-    Row order does not count. All comparisons run as one lazy query. ``tables`` may be a function
+    Row order does not count. One job takes the fingerprints of all answers; those that differ are
+    compared by a lazy query. ``tables`` may be a function
     of the question, which gives it no more columns than it needs. ``parameters`` has the
     arguments of a question's analysis. ``digits``: places that floating numbers must share.
     """
     unknown = sorted(set(answers) - set(BENCHMARKS))
     if unknown or not answers:
         raise ValueError(f"not benchmarks: {unknown}; the benchmarks are {BENCHMARKS}")
-    checked = [
-        difference_counts(
-            given,
-            answer(name, tables(name) if callable(tables) else tables, **(parameters or {}).get(name, {})),
-            digits,
-        ).select(
-            F.lit(name).alias("question"), "missing_rows", "extra_rows", "matches"
-        )
+    pairs = {
+        name: (given, answer(name, tables(name) if callable(tables) else tables, **(parameters or {}).get(name, {})))
         for name, given in answers.items()
-    ]
-    return reduce(DataFrame.unionAll, checked)
+    }
+    return compared(pairs, digits).withColumnRenamed("name", "question")

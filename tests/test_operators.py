@@ -149,3 +149,65 @@ def test_snippet_measures_count_every_status(make_shipments):
     assert ship.agg(*both).first().asDict() == {"gross_units": 6, "gross_revenue": 9}
     delivered = ship.where(snippet("fulfilled orders").build())
     assert delivered.agg(*both).first().asDict() == {"gross_units": 2, "gross_revenue": 3}
+
+
+def one_column(spark, kind, *values):
+    return spark.createDataFrame([(v,) for v in values], f"x {kind}")
+
+
+@pytest.mark.parametrize(
+    "left, right, equal",
+    [
+        (("decimal(19,2)", "90071992547409930.01"), ("decimal(21,4)", "90071992547409930.0300"), False),
+        (("decimal(19,2)", "90071992547409930.01"), ("decimal(21,4)", "90071992547409930.0100"), True),
+        (("bigint", 2**53 + 1), ("double", float(2**53)), False),
+        (("bigint", 2**53), ("double", float(2**53)), True),
+        (("int", 5), ("double", 5.5), False),
+        (("int", 5), ("decimal(3,1)", "5.5"), False),
+        (("int", 5), ("decimal(3,1)", "5.0"), True),
+        (("decimal(38,0)", "9" * 38), ("decimal(38,38)", "0." + "9" * 38), False),
+        (("decimal(38,0)", "-7"), ("decimal(38,30)", "-7." + "0" * 30), True),
+        (("decimal(38,0)", "-7"), ("decimal(38,30)", "-7." + "0" * 29 + "1"), False),
+        (("decimal(10,2)", "12.34"), ("double", 12.34), True),
+        (("decimal(10,2)", "12.34"), ("double", 12.340000000000002), False),
+        (("decimal(19,2)", "90071992547409930.01"), ("double", 90071992547409930.01), False),
+        (("bigint", 1), ("double", float("nan")), False),
+        (("bigint", 1), ("double", 1e300), False),
+        (("float", 0.5), ("double", 0.5), True),
+        (("double", 0.0), ("double", -0.0), True),
+        (("double", None), ("decimal(5,1)", None), True),
+        (("string", "5"), ("int", 5), False),
+    ],
+)
+def test_numbers_are_compared_exactly(spark, left, right, equal):
+    def frame(kind, value):
+        return one_column(spark, "string", None if value is None else str(value)).select(F.col("x").cast(kind).alias("x"))
+
+    for one, two in ((left, right), (right, left)):
+        got = difference_counts(frame(*one), frame(*two)).first()
+        assert got == ((0, 0, True) if equal else (1, 1, False)), (one, two)
+
+
+def test_nulls_of_different_columns_differ(spark):
+    one = spark.createDataFrame([(None, "a"), ("b", None)], "x string, y string")
+    two = spark.createDataFrame([("a", None), (None, "b")], "x string, y string")
+    assert difference_counts(one, two).first() == (2, 2, False)
+    assert difference_counts(one, one.orderBy("x")).first() == (0, 0, True)
+
+
+def test_equal_answers_move_no_rows(spark):
+    many = spark.range(1000).withColumn("y", F.col("id") % 7)
+    plan = plan_text(difference_counts(many, many.orderBy(F.desc("y"))))
+    assert "Exchange" not in plan
+    assert "Exchange" in plan_text(difference_counts(many, many.where("y > 0")))
+
+
+def test_rounded_where_asked(spark):
+    exact = one_column(spark, "double", 1.23456).select("x", F.lit("1.2346").cast("decimal(8,4)").alias("d"))
+    near = one_column(spark, "double", 1.23461).select("x", F.lit(1.23456).alias("d"))
+    assert difference_counts(near, exact, digits=4).first() == (0, 0, True)
+    assert difference_counts(near, exact).first() == (1, 1, False)
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
