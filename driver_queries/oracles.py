@@ -597,6 +597,18 @@ ORACLES: dict[str, str] = {
     "answer_check_forecasts": _checks(
         _difference("forecast_accuracy_brief", _ACCURACY_AGAIN, _ACCURACY),
     ),
+    "answer_check_exact": (
+        "WITH sums AS (SELECT l_suppkey, sum(l_quantity::BIGINT) AS units FROM lineitem GROUP BY 1) "
+        "SELECT 'whole_as_double' AS question, count(*) FILTER (WHERE units % 2 = 1) AS missing_rows, "
+        "count(*) FILTER (WHERE units % 2 = 1) AS extra_rows, count(*) FILTER (WHERE units % 2 = 1) = 0 AS matches FROM sums "
+        "UNION ALL SELECT 'two_cents_off', count(*), count(*), false FROM sums "
+        "UNION ALL SELECT 'more_places', 0, 0, true"
+    ),
+    "inventory_month_end": _on_inventory(
+        f"SELECT date_trunc('month', snapshot_date)::DATE AS snapshot_month, warehouse_id, {INVENTORY_MEASURES}\n"
+        "FROM inventory JOIN (SELECT date_trunc('month', snapshot_date) AS m, warehouse_id AS w, "
+        "max(snapshot_date) AS last FROM inventory GROUP BY 1, 2) ON w = warehouse_id AND last = snapshot_date GROUP BY 1, 2"
+    ),
     "answer_check_wrong": _checks(
         _difference("volume_by_warehouse", _VOLUME_OF_ALL, _VOLUME),
         _difference("below_reorder_brief", _BRIEF.replace("FROM latest", "FROM inventory"), _BRIEF),

@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import replace
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfcast.functions import at_latest, stock_status_3, stock_status_4
 from shelfcast.operators import dictionary
+from shelfcast.operators.compare import compared
 from shelfcast.operators.dictionary import ENTITY_COLUMNS, FORMAT_COLUMNS
 from shelfcast.operators.snippets import snippet
 from shelfcast.operators.views import FORECAST_METRICS, INVENTORY_METRICS, SHIPMENT_METRICS
@@ -379,37 +381,32 @@ def format_profile_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.format_profile(adapters.forecasts(spark, sf_dir), columns)
 
 
-CHECKED_SHIPMENT_COLUMNS = [
-    "order_id", "product_category", "quantity", "unit_price", "warehouse_id",
-    "destination_region", "order_status",
-]
-
-
 def answer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark questions on shipments, answered in another way: all answers match."""
-    shipments = adapters.shipments(spark, sf_dir, CHECKED_SHIPMENT_COLUMNS)
-    delivered = shipments.where(snippet("delivered orders").build())
+    needed = {
+        "volume_by_warehouse": ["quantity", "warehouse_id", "order_status"],
+        "fill_rate_by_category": ["order_id", "product_category", "order_status"],
+        "revenue_by_region": ["quantity", "unit_price", "destination_region", "order_status"],
+    }
+
+    def rows(question: str, delivered: bool) -> DataFrame:
+        shipments = adapters.shipments(spark, sf_dir, needed[question])
+        return shipments.where(snippet("delivered orders").build()) if delivered else shipments
+
     orders = F.count_distinct("order_id")
     filled = F.count_distinct(F.when(F.col("order_status") == "Delivered", F.col("order_id")))
     answers = {
-        "volume_by_warehouse": SHIPMENT_METRICS.on(delivered)
+        "volume_by_warehouse": SHIPMENT_METRICS.on(rows("volume_by_warehouse", True))
         .query(["total_units_shipped"], by=["warehouse_id"])
         .withColumnRenamed("total_units_shipped", "total_shipped"),
-        "fill_rate_by_category": shipments.groupBy("product_category").agg(
+        "fill_rate_by_category": rows("fill_rate_by_category", False).groupBy("product_category").agg(
             (filled.cast("double") * 100 / orders).alias("fill_rate")
         ),
-        "revenue_by_region": delivered.groupBy("destination_region")
+        "revenue_by_region": rows("revenue_by_region", True).groupBy("destination_region")
         .agg(snippet("sales").column())
         .withColumnRenamed("gross_revenue", "total_revenue"),
     }
-    needed = {
-        "volume_by_warehouse": ["quantity", "warehouse_id", "order_status"],
-        "fill_rate_by_category": ["order_id", "product_category", "order_status"],
-        "revenue_by_region": ["quantity", "unit_price", "destination_region", "order_status"],
-    }
-    return check_answers(
-        answers, lambda question: {SHIPMENTS.table: adapters.shipments(spark, sf_dir, needed[question])}
-    )
+    return check_answers(answers, lambda question: {SHIPMENTS.table: rows(question, False)})
 
 
 def answer_check_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,34 +446,40 @@ def answer_check_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Orders of every status, snapshots of every date, and orders counted by line.
     """
-    shipments = adapters.shipments(spark, sf_dir, CHECKED_SHIPMENT_COLUMNS)
+    needed = {
+        "volume_by_warehouse": ["quantity", "warehouse_id", "order_status"],
+        "fill_rate_by_category": ["order_id", "product_category", "order_status"],
+    }
+    volumes, fills = (adapters.shipments(spark, sf_dir, c) for c in needed.values())
     inventory = adapters.inventory(spark, sf_dir)
     low = inventory.where(snippet("low stock").build())
     lines = F.count("order_id")
     filled = F.count(F.when(F.col("order_status") == "Delivered", F.col("order_id")))
     answers = {
-        "volume_by_warehouse": shipments.groupBy("warehouse_id").agg(
+        "volume_by_warehouse": volumes.groupBy("warehouse_id").agg(
             F.sum("quantity").alias("total_shipped")
         ),
         "below_reorder_brief": low.select(
             "product_sku", "product_name", "warehouse_id", "warehouse_name",
             "quantity_on_hand", "reorder_point",
         ),
-        "fill_rate_by_category": shipments.groupBy("product_category").agg(
+        "fill_rate_by_category": fills.groupBy("product_category").agg(
             (filled.cast("double") * 100 / lines).alias("fill_rate")
         ),
     }
-    return check_answers(answers, {SHIPMENTS.table: shipments, INVENTORY.table: inventory})
+    tables = {"volume_by_warehouse": volumes, "fill_rate_by_category": fills}
+    return check_answers(
+        answers, lambda question: {SHIPMENTS.table: tables.get(question), INVENTORY.table: inventory}
+    )
 
 
 def answer_check_near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that are nearly right: halves in a column of whole numbers, every row twice, a value
     as text."""
-    shipments = adapters.shipments(
-        spark, sf_dir, ["product_category", "quantity", "warehouse_id", "order_status", "order_id"]
-    )
-    volume = analyses.volume_by_warehouse(shipments)
-    rates = analyses.fill_rate_by_category(shipments)
+    volumes = adapters.shipments(spark, sf_dir, ["quantity", "warehouse_id", "order_status"])
+    fills = adapters.shipments(spark, sf_dir, ["product_category", "order_id", "order_status"])
+    volume = analyses.volume_by_warehouse(volumes)
+    rates = analyses.fill_rate_by_category(fills)
     inventory = adapters.inventory(spark, sf_dir)
     value = analyses.inventory_value_by_warehouse(inventory)
     return check_answers(
@@ -485,7 +488,35 @@ def answer_check_near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
             "fill_rate_by_category": rates.unionAll(rates),
             "inventory_value_by_warehouse": value.withColumn("total_value", F.col("total_value").cast("string")),
         },
-        {SHIPMENTS.table: shipments, INVENTORY.table: inventory},
+        lambda question: {
+            SHIPMENTS.table: fills if question == "fill_rate_by_category" else volumes,
+            INVENTORY.table: inventory,
+        },
+    )
+
+
+def answer_check_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that differ in a digit no double has: whole numbers above 2^53 as doubles, amounts
+    of 19 digits that are two cents off; and amounts with more places, which match."""
+    lines = parquet_table(spark, sf_dir, "lineitem")
+    sums = lines.groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("units"))
+    whole = sums.select("l_suppkey", (F.col("units") + 2**53).alias("value"))
+    amount = (F.col("units") + F.lit(Decimal("90071992547409920.01"))).cast("decimal(22,2)")
+    amounts = sums.select("l_suppkey", amount.alias("value"))
+    return compared(
+        {
+            "whole_as_double": (whole.withColumn("value", F.col("value").cast("double")), whole),
+            "two_cents_off": (amounts.withColumn("value", (F.col("value") + F.lit(Decimal("0.02"))).cast("decimal(24,4)")), amounts),
+            "more_places": (amounts.withColumn("value", F.col("value").cast("decimal(24,4)")), amounts),
+        }
+    ).withColumnRenamed("name", "question")
+
+
+def inventory_month_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock of each warehouse at its last snapshot of each month."""
+    view = INVENTORY_METRICS.with_dimensions(snapshot_month="trunc(snapshot_date, 'month')")
+    return view.on(adapters.inventory(spark, sf_dir)).query(
+        list(INVENTORY_METRICS.measures), by=["snapshot_month", "warehouse_id"], as_of="period_end"
     )
 
 
@@ -537,5 +568,7 @@ QUERIES: dict[str, Query] = {
         answer_check_inventory,
         answer_check_forecasts,
         answer_check_wrong,
+        answer_check_exact,
+        inventory_month_end,
     )
 }

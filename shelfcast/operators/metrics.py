@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import at_latest
 
-_KEY = "__key"
+_KEY, _DAY = "__key", "__day"
 
 
 @dataclass(frozen=True)
@@ -113,6 +113,10 @@ class MetricView:
         """The same definitions over ``source``."""
         return replace(self, source=source)
 
+    def with_dimensions(self, **extra: str) -> MetricView:
+        """Further dimensions, as names and SQL expressions."""
+        return replace(self, dimensions={**self.dimensions, **extra})
+
     def with_measures(self, *extra: Measure) -> MetricView:
         return replace(self, measures={**self.measures, **{m.name: m for m in extra}})
 
@@ -132,12 +136,15 @@ class MetricView:
         has under its name. The source needs only the columns that the query touches.
         ``order_by`` names result columns, with a leading ``-`` for descending order.
         ``as_of="latest"`` keeps only the source's newest date, which sums of stock levels
-        need: added up over all snapshots they mean nothing.
+        need: added up over all snapshots they mean nothing. ``as_of="period_end"`` takes every
+        combination of dimensions at its own newest date, such as stock by month at the last
+        snapshot of each month: terms are aggregated by day first, and a group's last day is taken,
+        so what moves is one narrow row for each group and day.
         """
         if self.source is None:
             raise ValueError(f"{self.name} has no source; bind one with on()")
-        if as_of not in (None, "latest"):
-            raise ValueError(f"as_of must be None or 'latest', not {as_of!r}")
+        if as_of not in (None, "latest", "period_end"):
+            raise ValueError(f"as_of must be None, 'latest' or 'period_end', not {as_of!r}")
         self._check(measures, self.measures, "measure")
         self._check(by, self.dimensions, "dimension")
 
@@ -158,9 +165,14 @@ class MetricView:
         wanted = [self.measures[m] for m in measures]
         terms = list(dict.fromkeys(t for m in wanted for t in m.terms.values()))
         names = {t: f"__t{i}" for i, t in enumerate(terms)}
-        result = _aggregate(df, list(by), names).select(
-            *by, *[m.column(names) for m in wanted]
-        )
+        if as_of == "period_end":
+            df = df.withColumn(_DAY, F.col(self.time_column))
+            by_day = _aggregate(df, [*by, _DAY], names).where(F.col(_DAY).isNotNull())
+            last = F.max_by(F.struct(*names.values()), _DAY).alias("__last")
+            aggregated = by_day.groupBy(*by).agg(last).select(*by, "__last.*")
+        else:
+            aggregated = _aggregate(df, list(by), names)
+        result = aggregated.select(*by, *[m.column(names) for m in wanted])
         if having is not None:
             result = result.where(having)
         if order_by:
