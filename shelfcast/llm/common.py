@@ -46,9 +46,14 @@ def n_words(name: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set (tests), one is made and set."""
+    """The cluster's checkpoint folder; a local session where none is set (tests) gets one.
+
+    On a cluster a folder of one machine would be another on each, so there it must be set.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="shelfcast-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
