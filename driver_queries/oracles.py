@@ -615,3 +615,9 @@ ORACLES: dict[str, str] = {
         _difference("fill_rate_by_category", _FILL.replace("DISTINCT ", ""), _FILL),
     ),
 }
+ORACLES |= {
+    "sql_low_fill_rate": ORACLES["low_fill_rate_warehouses"],
+    "sql_recent_volume": ORACLES["volume_last_3_months"],
+    "sql_actual_vs_forecast": ORACLES["actual_vs_forecast"],
+    "sql_stockout_risk": ORACLES["stockout_risk"],
+}

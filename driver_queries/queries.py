@@ -17,6 +17,7 @@ from shelfcast.operators.snippets import snippet
 from shelfcast.operators.views import FORECAST_METRICS, INVENTORY_METRICS, SHIPMENT_METRICS
 from shelfcast.plans import analyses
 from shelfcast.plans.benchmarks import check_answers
+from shelfcast.plans.sql_functions import register_functions
 from shelfcast.sources import adapters, generate
 from shelfcast.sources.contracts import FORECASTS, INVENTORY, SHIPMENTS
 from shelfcast.sources.sample import PROFILES, regions_of
@@ -512,6 +513,43 @@ def answer_check_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("name", "question")
 
 
+def _sql_functions(spark: SparkSession, sf_dir: str) -> None:
+    views = {
+        SHIPMENTS.table: adapters.shipments(spark, sf_dir),
+        INVENTORY.table: adapters.inventory(spark, sf_dir),
+        FORECASTS.table: adapters.forecasts(spark, sf_dir),
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(f"test_{name}")
+    register_functions(spark, {name: f"test_{name}" for name in views})
+
+
+def sql_low_fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warehouses below a fill rate, by the SQL function."""
+    _sql_functions(spark, sf_dir)
+    return spark.sql(f"SELECT * FROM low_fill_rate_warehouses({LOW_FILL_PCT})")
+
+
+def sql_recent_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivered units and orders of the last three months, by the SQL function's default."""
+    _sql_functions(spark, sf_dir)
+    return spark.sql("SELECT * FROM recent_volume_by_warehouse()")
+
+
+def sql_actual_vs_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecast against actual of a category, by the SQL function with named arguments."""
+    _sql_functions(spark, sf_dir)
+    return spark.sql(
+        f"SELECT * FROM actual_vs_forecast(from_date => date'{FORECAST_FROM}', category => '{FORECAST_CATEGORY}')"
+    )
+
+
+def sql_stockout_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock that may run out, by the SQL function."""
+    _sql_functions(spark, sf_dir)
+    return spark.sql("SELECT * FROM stockout_risk()")
+
+
 def inventory_month_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock of each warehouse at its last snapshot of each month."""
     view = INVENTORY_METRICS.with_dimensions(snapshot_month="trunc(snapshot_date, 'month')")
@@ -570,5 +608,9 @@ QUERIES: dict[str, Query] = {
         answer_check_wrong,
         answer_check_exact,
         inventory_month_end,
+        sql_low_fill_rate,
+        sql_recent_volume,
+        sql_actual_vs_forecast,
+        sql_stockout_risk,
     )
 }

@@ -213,3 +213,20 @@ def test_definitions():
     assert [len(v.measures) for v in METRIC_VIEWS.values()] == [6, 5, 6]
     assert all(m.comment for v in METRIC_VIEWS.values() for m in v.measures.values())
     assert isinstance(SHIPMENT_METRICS, MetricView)
+
+
+def test_stock_at_the_end_of_each_period(make_inventory):
+    rows = [
+        ("S1", "Food", "W1", "2025-01-05", 50, 10, 4, 2, "1.00"),
+        ("S1", "Food", "W1", "2025-01-26", 5, 10, 4, 2, "1.00"),
+        ("S2", "Food", "W1", "2025-01-26", 7, 10, 4, 2, "2.00"),
+        ("S1", "Food", "W1", "2025-02-02", 9, 10, 4, 4, "1.00"),
+        ("S3", "Food", "W2", "2025-01-12", 1, 10, 4, 2, "1.00"),
+    ]
+    view = INVENTORY_METRICS.with_dimensions(month="trunc(snapshot_date, 'month')").on(make_inventory(*rows))
+    got = view.query(["total_quantity_on_hand", "avg_lead_time"], by=["month", "warehouse_id"], as_of="period_end")
+    assert sorted((str(r[0]), *r[1:]) for r in tuples(got)) == [
+        ("2025-01-01", "W1", 12, 2.0), ("2025-01-01", "W2", 1, 2.0), ("2025-02-01", "W1", 9, 4.0),
+    ]
+    assert tuples(view.query(["total_inventory_value"], as_of="period_end"))[0][0] == 9
+    assert view.query(["avg_lead_time"], by=["month"], where="warehouse_id = 'W9'", as_of="period_end").count() == 0

@@ -211,3 +211,13 @@ def test_rounded_where_asked(spark):
 
 def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_part_has_its_own_partition(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = pair_up(spark.range(400).withColumnRenamed("id", "a"), spark.range(5).withColumnRenamed("id", "b"), "a", cells=16)
+        filled = pairs.groupBy(F.spark_partition_id()).count().collect()
+        assert len(filled) == 16 and sum(r["count"] for r in filled) == 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
