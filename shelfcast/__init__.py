@@ -12,6 +12,7 @@ from .operators.views import (
 )
 from .plans.benchmarks import BENCHMARKS, check_answers
 from .plans.catalogue import QUESTIONS, answer
+from .plans.sql_functions import register_functions
 from .sources.contracts import CONTRACTS, FORECASTS, INVENTORY, SHIPMENTS, Contract, conform
 from .sources.metric_catalog import drop_metric_view, list_metric_views, metric_view, save_metric_view
 from .sources.store import deploy, deployment_record, materialize, teardown
@@ -47,6 +48,7 @@ __all__ = [
     "materialize",
     "mean",
     "metric_view",
+    "register_functions",
     "row_differences",
     "rows",
     "save_metric_view",
