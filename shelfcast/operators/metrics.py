@@ -7,10 +7,10 @@ formed from terms at the grain asked for, never averaged from finer ratios.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import at_latest
@@ -151,12 +151,12 @@ class MetricView:
         df = self.source
         if as_of == "latest":
             df = at_latest(df, self.time_column)
-        named = set(re.findall(r"\w+", "" if where is None else str(where)))
+        derived = {name: formula for name, formula in self.dimensions.items() if formula != name}
         df = df.withColumns(
             {
                 name: F.expr(formula)
-                for name, formula in self.dimensions.items()
-                if formula != name and (name in by or name in named)
+                for name, formula in derived.items()
+                if name in by or where is not None and _resolves(df, formula)
             }
         )
         if where is not None:
@@ -195,6 +195,15 @@ class MetricView:
             raise ValueError(f"{self.name} has no {what} {unknown}; it has {sorted(known)}")
 
 
+def _resolves(df: DataFrame, formula: str) -> bool:
+    """Whether ``df`` has the columns of ``formula``; those that a query doesn't use are pruned."""
+    try:
+        _ = df.select(F.expr(formula)).schema
+    except AnalysisException:
+        return False
+    return True
+
+
 def _aggregate(df: DataFrame, by: list[str], names: Mapping[Term, str]) -> DataFrame:
     """All terms by the dimensions, each under its own name.
 

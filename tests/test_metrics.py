@@ -230,3 +230,17 @@ def test_stock_at_the_end_of_each_period(make_inventory):
     ]
     assert tuples(view.query(["total_inventory_value"], as_of="period_end"))[0][0] == 9
     assert view.query(["avg_lead_time"], by=["month"], where="warehouse_id = 'W9'", as_of="period_end").count() == 0
+
+
+def test_a_filter_may_hold_the_name_of_a_dimension(make_shipments):
+    df = make_shipments(
+        ("O1", "2025-01-05", "S1", "order_month", 4, "2.50", "W1", "East", "Delivered"),
+        ("O2", "2025-02-07", "S1", "Food", 5, "3.00", "W2", "West", "Delivered"),
+    ).withColumn("order_month", F.lit("mine"))
+    view = SHIPMENT_METRICS.on(df)
+    assert tuples(view.query(["total_orders"], where="product_category = 'order_month'")) == [(1,)]
+    assert tuples(view.query(["total_orders"], where="order_month = date'2025-02-01'")) == [(1,)]
+    assert tuples(view.query(["total_orders"], where=F.col("order_month") == dt.date(2025, 2, 1))) == [(1,)]
+    # a source without the dimension's columns is enough for what the query touches
+    narrow = SHIPMENT_METRICS.on(df.select("order_id", "warehouse_id", "order_status"))
+    assert tuples(narrow.query(["total_orders"], where="warehouse_id = 'W2'")) == [(1,)]
