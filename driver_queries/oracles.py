@@ -160,6 +160,13 @@ def _dictionary(cte: str, table: str, columns: tuple[str, ...]) -> str:
     return f"WITH {cte}\n" + "\nUNION ALL\n".join(parts)
 
 
+def _top_values(cte: str, table: str, columns: tuple[str, ...], k: int) -> str:
+    return (
+        f"SELECT * FROM ({_dictionary(cte, table, columns)}) AS counted\n"
+        f"QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY row_count DESC, value) <= {k}"
+    )
+
+
 def _format_profile(cte: str, table: str, columns: tuple[str, ...], types: dict) -> str:
     parts = [
         f"SELECT '{c}' AS column_name, '{types[c]}' AS type, min({c})::VARCHAR AS min_value, "
@@ -438,6 +445,11 @@ _shipment_types = {f.name: f.type for f in SHIPMENTS.fields}
 ORACLES: dict[str, str] = {
     "fill_rate_by_category": _on_shipments(_FILL),
     "revenue_by_region": _on_shipments(_REVENUE),
+    "rollup_fill_rate_by_category": _on_shipments(_FILL),
+    "rollup_metrics_by_month": _on_shipments(
+        "SELECT date_trunc('month', order_date)::DATE AS order_month, "
+        f"{SHIPMENT_MEASURES}\nFROM shipments GROUP BY 1"
+    ),
     "shipment_metrics_by_month": _on_shipments(
         "SELECT date_trunc('month', order_date)::DATE AS order_month, "
         f"{SHIPMENT_MEASURES}\nFROM shipments GROUP BY 1"
@@ -556,6 +568,9 @@ ORACLES: dict[str, str] = {
     "value_dictionary_inventory": _dictionary(
         INVENTORY_CTE, "inventory", ENTITY_COLUMNS[INVENTORY.table]
     ),
+    "top_values_shipments": _top_values(
+        SHIPMENTS_CTE, "shipments", ("order_id", "customer_id", "product_sku", "warehouse_id"), 10
+    ),
     "value_dictionary_forecasts": _dictionary(
         FORECASTS_CTE, "forecasts", ENTITY_COLUMNS[FORECASTS.table]
     ),

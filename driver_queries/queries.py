@@ -13,7 +13,9 @@ from shelfcast.functions import at_latest, stock_status_3, stock_status_4
 from shelfcast.operators import dictionary
 from shelfcast.operators.compare import compared
 from shelfcast.operators.dictionary import ENTITY_COLUMNS, FORMAT_COLUMNS
+from shelfcast.operators.rollup import Rollup, roll_up
 from shelfcast.operators.snippets import snippet
+from shelfcast.operators.top_values import top_values
 from shelfcast.operators.views import FORECAST_METRICS, INVENTORY_METRICS, SHIPMENT_METRICS
 from shelfcast.plans import analyses
 from shelfcast.plans.benchmarks import check_answers
@@ -100,6 +102,29 @@ def shipment_metrics_by_day_and_status(spark: SparkSession, sf_dir: str) -> Data
     return _shipment_metrics(spark, sf_dir, "order_date", "order_status")
 
 
+def _shipment_rollup(spark: SparkSession, sf_dir: str) -> Rollup:
+    """By day, category and status; order ids are their numbers behind a prefix."""
+    shipments = adapters.shipments(spark, sf_dir, [*MEASURED, "product_category"])
+    return roll_up(
+        SHIPMENT_METRICS.on(shipments),
+        ["order_date", "product_category", "order_status"],
+        key_number="cast(substr(order_id, 5) as bigint)",
+    )
+
+
+def rollup_fill_rate_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct orders by category from a finer rollup, never from the rows."""
+    rollup = _shipment_rollup(spark, sf_dir)
+    return rollup.query(["fill_rate"], by=["product_category"], order_by=["fill_rate"])
+
+
+def rollup_metrics_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures by a dimension that is derived from one of the rollup's."""
+    return _shipment_rollup(spark, sf_dir).query(
+        ALL_SHIPMENT_MEASURES, by=["order_month"], order_by=["order_month"]
+    )
+
+
 def gross_volume_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
     shipments = adapters.shipments(spark, sf_dir, ["order_date", "quantity", "unit_price"])
     return (
@@ -367,6 +392,12 @@ def value_dictionary_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def top_values_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent values of the identifier columns."""
+    columns = ["order_id", "customer_id", "product_sku", "warehouse_id"]
+    return top_values(adapters.shipments(spark, sf_dir, columns), columns, 10)
+
+
 def format_profile_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = FORMAT_COLUMNS[SHIPMENTS.table]
     return dictionary.format_profile(adapters.shipments(spark, sf_dir, columns), columns)
@@ -571,6 +602,8 @@ QUERIES: dict[str, Query] = {
         shipment_metrics_global,
         shipment_metrics_by_product,
         shipment_metrics_by_day_and_status,
+        rollup_fill_rate_by_category,
+        rollup_metrics_by_month,
         gross_volume_by_quarter,
         delivered_volume_by_month,
         low_fill_rate_warehouses,
@@ -601,6 +634,7 @@ QUERIES: dict[str, Query] = {
         value_dictionary,
         value_dictionary_inventory,
         value_dictionary_forecasts,
+        top_values_shipments,
         format_profile_shipments,
         answer_check,
         answer_check_inventory,
