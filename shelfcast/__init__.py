@@ -3,7 +3,9 @@
 from .operators.compare import compare, difference_counts, row_differences
 from .operators.dictionary import format_profile, value_dictionary
 from .operators.metrics import Measure, MetricView, distinct, mean, rows, total
+from .operators.rollup import number_keys, roll_up
 from .operators.snippets import SNIPPETS, snippet
+from .operators.top_values import top_values
 from .operators.views import (
     FORECAST_METRICS,
     INVENTORY_METRICS,
@@ -48,12 +50,15 @@ __all__ = [
     "materialize",
     "mean",
     "metric_view",
+    "number_keys",
     "register_functions",
+    "roll_up",
     "row_differences",
     "rows",
     "save_metric_view",
     "snippet",
     "teardown",
+    "top_values",
     "total",
     "value_dictionary",
 ]
