@@ -254,9 +254,11 @@ _selected = m3.bucket(
     10000,
 )
 
-GEN_SHIPMENTS = f"""WITH {GEN_DIMS_CTE}, days AS MATERIALIZED (
+
+def _gen_shipments(first: str) -> str:
+    return f"""WITH {GEN_DIMS_CTE}, days AS MATERIALIZED (
   SELECT order_date, {m3.add_date(m3.start(SEED, 'select_noise'), 'order_date')} AS day_state
-  FROM (SELECT unnest(generate_series(DATE '2025-01-01', DATE '2025-12-31',
+  FROM (SELECT unnest(generate_series(DATE '{first}', DATE '2025-12-31',
                                       INTERVAL 1 DAY))::DATE AS order_date)
   WHERE dayofweek(order_date) BETWEEN 1 AND 5
 ), sold AS (
@@ -282,6 +284,7 @@ SELECT 'ORD-' || lpad(number::VARCHAR, greatest(6, length(number::VARCHAR))::INT
             ELSE 'Delivered' END AS order_status
 FROM noisy"""
 
+
 # The wave's angle is decimal: rounded half up to ten digits before the phase is added.
 _phase = m3.bucket(
     m3.add_words(f"{m3.SPARK_SEED}::UBIGINT", "sku_words", "sku_length"), 100
@@ -291,7 +294,9 @@ _angle = (
     "+ phase * 10000000000)::DOUBLE / 10000000000"
 )
 
-GEN_INVENTORY = f"""WITH {GEN_DIMS_CTE}, pairs AS MATERIALIZED (
+
+def _gen_inventory(first: str) -> str:
+    return f"""WITH {GEN_DIMS_CTE}, pairs AS MATERIALIZED (
   SELECT *, {_phase} AS phase FROM products CROSS JOIN warehouses
   WHERE {_pair_bucket('inventory_pair', 'wh')} < 52
 ), noisy AS (
@@ -299,7 +304,7 @@ GEN_INVENTORY = f"""WITH {GEN_DIMS_CTE}, pairs AS MATERIALIZED (
          {_angle} AS angle,
          {_seasonal('stock_dip', 'month(snapshot_date)', 'DECIMAL(2,1)')} AS dip
   FROM pairs CROSS JOIN (
-    SELECT unnest(generate_series(DATE '2025-01-01', DATE '2025-12-31',
+    SELECT unnest(generate_series(DATE '{first}', DATE '2025-12-31',
                                   INTERVAL 7 DAY))::DATE AS snapshot_date)
 )
 SELECT product_sku, product_name, product_category, warehouse_id, warehouse_name, snapshot_date,
@@ -323,7 +328,9 @@ def _scaled(units: str, low: str, width: str, salt: str) -> str:
 _base = _by_profile(lambda p: str(p.demand), lambda p: str(p.demand))
 _season = _seasonal("demand_season", "month(forecast_date)", "DECIMAL(2,1)")
 
-GEN_FORECASTS = f"""WITH {GEN_DIMS_CTE}, pairs AS MATERIALIZED (
+
+def _gen_forecasts(first: str) -> str:
+    return f"""WITH {GEN_DIMS_CTE}, pairs AS MATERIALIZED (
   SELECT * FROM products
   CROSS JOIN (SELECT DISTINCT region, region_words, region_length FROM warehouses)
   WHERE {_pair_bucket('forecast_pair', 'region')} < 52
@@ -331,7 +338,7 @@ GEN_FORECASTS = f"""WITH {GEN_DIMS_CTE}, pairs AS MATERIALIZED (
   SELECT *, {_noise(['forecast_noise', 'lower_noise', 'upper_noise', 'actual_noise'],
                     'forecast_date', {}, 'region')}
   FROM pairs CROSS JOIN (
-    SELECT unnest(generate_series(DATE '2025-01-01', DATE '2025-12-01',
+    SELECT unnest(generate_series(DATE '{first}', DATE '2025-12-01',
                                   INTERVAL 1 MONTH))::DATE AS forecast_date)
 ), predicted AS (
   SELECT *, {_scaled(f"({_base} * (1.0 + 0.03 * month(forecast_date)) * {_season})",
@@ -555,9 +562,12 @@ ORACLES: dict[str, str] = {
         f"AND forecast_date >= DATE '{FORECAST_FROM}'"
     ),
     "forecast_table": _on_forecasts("SELECT * FROM forecasts"),
-    "gen_shipments": GEN_SHIPMENTS,
-    "gen_inventory": GEN_INVENTORY,
-    "gen_forecasts": GEN_FORECASTS,
+    "gen_shipments": _gen_shipments("2025-01-01"),
+    "gen_inventory": _gen_inventory("2025-01-01"),
+    "gen_forecasts": _gen_forecasts("2025-01-01"),
+    "gen_shipments_two_years": _gen_shipments("2024-01-01"),
+    "gen_inventory_two_years": _gen_inventory("2024-01-01"),
+    "gen_forecasts_two_years": _gen_forecasts("2024-01-01"),
     "warehouse_regions": (
         "SELECT DISTINCT r_name AS region FROM supplier "
         "JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -636,3 +646,11 @@ ORACLES |= {
     "sql_actual_vs_forecast": ORACLES["actual_vs_forecast"],
     "sql_stockout_risk": ORACLES["stockout_risk"],
 }
+
+ORACLES["answer_order"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS question, count(*) AS n_rows, 0::BIGINT AS out_of_order FROM ({ORACLES[name]})"
+    for name in (
+        "below_reorder", "below_reorder_brief", "reorder_by_lead_time", "revenue_by_region",
+        "fill_rate_by_category", "actual_vs_forecast",
+    )
+)

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import replace
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,6 +14,7 @@ from shelfcast.functions import at_latest, stock_status_3, stock_status_4
 from shelfcast.operators import dictionary
 from shelfcast.operators.compare import compared
 from shelfcast.operators.dictionary import ENTITY_COLUMNS, FORMAT_COLUMNS
+from shelfcast.operators.ordering import order_violations
 from shelfcast.operators.rollup import Rollup, roll_up
 from shelfcast.operators.snippets import snippet
 from shelfcast.operators.top_values import top_values
@@ -335,8 +337,8 @@ def gen_profiles():
     return [replace(p, category=PROFILE_OF_TYPE[p.category]) for p in PROFILES]
 
 
-def gen_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start, end = year_span()
+def gen_shipments(spark: SparkSession, sf_dir: str, years: int = 1) -> DataFrame:
+    start, end = year_span(years)
     return generate.shipments(
         gen_products(spark, sf_dir),
         gen_warehouses(spark, sf_dir),
@@ -346,8 +348,8 @@ def gen_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def gen_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start, end = year_span()
+def gen_inventory(spark: SparkSession, sf_dir: str, years: int = 1) -> DataFrame:
+    start, end = year_span(years)
     return generate.inventory(
         gen_products(spark, sf_dir),
         gen_warehouses(spark, sf_dir),
@@ -357,8 +359,8 @@ def gen_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def gen_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start, end = year_span()
+def gen_forecasts(spark: SparkSession, sf_dir: str, years: int = 1) -> DataFrame:
+    start, end = year_span(years)
     return generate.forecasts(
         gen_products(spark, sf_dir),
         regions_of(gen_warehouses(spark, sf_dir)),
@@ -368,6 +370,20 @@ def gen_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def gen_shipments_two_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order numbers run on from the first year into the second."""
+    return gen_shipments(spark, sf_dir, years=2)
+
+
+def gen_inventory_two_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot days follow from the first day, so the last year's differ from those of one year."""
+    return gen_inventory(spark, sf_dir, years=2)
+
+
+def gen_forecasts_two_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gen_forecasts(spark, sf_dir, years=2)
+
+
 def warehouse_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions_of(gen_warehouses(spark, sf_dir))
 
@@ -375,6 +391,31 @@ def warehouse_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- profiling and checking ---
 
 
+#: The order that answers come in, by query.
+ANSWER_ORDERS = {
+    below_reorder: ["stock_ratio", "product_sku", "warehouse_id"],
+    below_reorder_brief: ["quantity_on_hand", "product_sku", "warehouse_id"],
+    reorder_by_lead_time: ["-lead_time_days", "quantity_on_hand", "product_sku", "warehouse_name"],
+    revenue_by_region: ["-total_revenue"],
+    fill_rate_by_category: ["fill_rate"],
+    actual_vs_forecast: ["forecast_date", "product_name", "region"],
+}
+
+
+def answer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each sorted answer, and how many of them stand before their predecessor."""
+
+    def counted(query: Query, order: list[str]) -> DataFrame:
+        rows = query(spark, sf_dir)
+        if "stock_ratio" in order:
+            rows = rows.withColumn("stock_ratio", F.col("quantity_on_hand") / F.col("reorder_point"))
+        return order_violations(rows, order).select(
+            F.lit(query.__name__).alias("question"), "n_rows", "out_of_order"
+        )
+
+    return reduce(DataFrame.unionByName, [counted(q, order) for q, order in ANSWER_ORDERS.items()])
+
+
 def value_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ENTITY_COLUMNS[SHIPMENTS.table]
     return dictionary.value_dictionary(adapters.shipments(spark, sf_dir, columns), columns)
@@ -630,6 +671,10 @@ QUERIES: dict[str, Query] = {
         gen_shipments,
         gen_inventory,
         gen_forecasts,
+        gen_shipments_two_years,
+        gen_inventory_two_years,
+        gen_forecasts_two_years,
+        answer_order,
         warehouse_regions,
         value_dictionary,
         value_dictionary_inventory,

@@ -25,13 +25,26 @@ def global_rank(
     window runs over the group sizes: one narrow row per (lead, bucket), so the distinct
     ``lead`` values (days of a calendar, say) must be few; the rows of ``df`` may be many.
     Neither ``lead`` nor ``bucket`` may be NULL.
+
+    ``df`` is made once: one exchange lays its rows out by group, and both the numbering and the
+    group sizes read it. Spark shares an exchange only between readers of the same columns, so
+    the sizes carry a checksum of whole rows; ``df`` therefore has no columns of map type.
     """
-    sizes = df.groupBy(lead, bucket).agg(F.count(F.lit(1)).alias("__n"))
+    # stated for both readers: Spark would infer it from the join for one of them alone
+    known = F.col(lead).isNotNull() & F.col(bucket).isNotNull()
+    laid = df.where(known).repartition(lead, bucket)
+    sizes = laid.groupBy(lead, bucket).agg(
+        F.count(F.lit(1)).alias("__n"), F.bit_xor(F.xxhash64(*df.columns)).alias("__rows")
+    )
     up_to = F.sum("__n").over(Window.orderBy(lead, bucket))
-    offsets = sizes.select(lead, bucket, (up_to - F.col("__n")).alias("__offset"))
+    offsets = (
+        sizes.select(lead, bucket, "__rows", (up_to - F.col("__n")).alias("__offset"))
+        .where(F.col("__rows").isNotNull())
+        .drop("__rows")
+    )
     inside = F.row_number().over(Window.partitionBy(lead, bucket).orderBy(*order))
     return (
-        df.withColumn("__inside", inside)
+        laid.withColumn("__inside", inside)
         .join(offsets, [lead, bucket])
         .withColumn(name, F.col("__offset") + F.col("__inside"))
         .drop("__offset", "__inside")

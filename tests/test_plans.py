@@ -41,6 +41,19 @@ def test_rank_moves_only_group_sizes_to_one_task(spark):
     assert "HashAggregate" in below[1] and "count" in below[1]
 
 
+@pytest.mark.parametrize("made", ["sample", "from_tables"])
+def test_rank_makes_the_pairs_once(spark, made):
+    orders = (
+        generate.sample_tables(spark)["shipment_orders"]
+        if made == "sample"
+        else QUERIES["gen_shipments"](spark, SF_DIR)
+    )
+    orders.collect()
+    plan = orders._jdf.queryExecution().executedPlan().toString()
+    done = plan[: plan.index("Initial Plan")]
+    assert done.count("Generate explode") == 2  # once to cells, once to dates
+
+
 def test_distinct_measures_do_not_copy_rows(spark):
     plan = plan_of(QUERIES["shipment_metrics_by_month"](spark, SF_DIR))
     assert "Expand" not in plan
