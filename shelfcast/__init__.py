@@ -3,6 +3,7 @@
 from .operators.compare import compare, difference_counts, row_differences
 from .operators.dictionary import format_profile, value_dictionary
 from .operators.metrics import Measure, MetricView, distinct, mean, rows, total
+from .operators.ordering import order_violations
 from .operators.rollup import number_keys, roll_up
 from .operators.snippets import SNIPPETS, snippet
 from .operators.top_values import top_values
@@ -51,6 +52,7 @@ __all__ = [
     "mean",
     "metric_view",
     "number_keys",
+    "order_violations",
     "register_functions",
     "roll_up",
     "row_differences",

@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.operators.ordering import order_violations
+from shelfcast.plans.benchmarks import check_answers
+from shelfcast.plans.catalogue import answer
+from shelfcast.sources.contracts import SHIPMENTS
 
 COLUMNS = "a int, b string"
 
@@ -40,3 +43,22 @@ def test_empty_partitions_and_no_rows(spark):
     assert tuple(order_violations(rows.where("a > 5"), ["a"]).first()) == (0, 0)
     with pytest.raises(ValueError):
         order_violations(rows, [])
+
+
+def test_an_answer_in_the_wrong_order(spark, make_shipments):
+    rows = [
+        (f"O{i}", "2025-01-02", "S1", "Electronics", 10 * i, "2.00", f"W{i}", "Pacific", "Delivered")
+        for i in range(1, 6)
+    ]
+    tables = {SHIPMENTS.table: make_shipments(*rows)}
+    name = "volume_by_warehouse"
+    given = answer(name, tables)
+    order = {name: ["-total_shipped"]}
+    right = check_answers({name: given}, tables, orders=order).first()
+    assert (right.out_of_order, right.matches) == (0, True)
+    turned = {name: given.orderBy("total_shipped")}
+    wrong = check_answers(turned, tables, orders=order).first()
+    assert (wrong.missing_rows, wrong.extra_rows, wrong.out_of_order, wrong.matches) == (0, 0, 4, False)
+    assert check_answers(turned, tables).first().matches
+    with pytest.raises(ValueError):
+        check_answers(turned, tables, orders={"revenue_by_region": ["-total_revenue"]})
