@@ -111,10 +111,12 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = global_rank(known.withColumns(ranges), "__number", "__all", "__range", ["s_suppkey"])
     stores = known.agg(F.count(F.lit(1)).cast("bigint")).scalar()
     step = F.expr(f"__stores div {STORES_PER_PART}")
+    # by merge: Spark's size of the parts leaves out their unfolding, so it would broadcast them
     stocked = (
         part.withColumn("__stores", stores)
         .withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(STORES_PER_PART - 1))))
         .withColumn("__store", (F.col("p_partkey") + F.col("__i") * step) % F.col("__stores"))
+        .hint("merge")
         .join(numbered, F.col("__store") == F.col("__number") - 1)
     )
     last = FIRST_SNAPSHOT + dt.timedelta(weeks=SNAPSHOTS - 1)

@@ -122,3 +122,20 @@ def test_supplier_numbering_loses_no_rows(spark, tmp_path):
         ).write.parquet(f"{folder}/supplier.parquet")
         counts.add(adapters.inventory(spark, folder).count())
     assert counts == {12 * 4 * 8}
+
+
+def test_unfolded_parts_are_not_broadcast(spark, tmp_path):
+    """The file of the parts is far below the broadcast threshold, their unfolded rows are not."""
+    parts = spark.range(40_000).selectExpr(
+        "id as p_partkey", "'bolt' as p_name", "'B1' as p_brand", "'SMALL' as p_type", "5 as p_size", "1.1D as p_retailprice"
+    )
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    stores = spark.range(8).selectExpr("id as s_suppkey", "concat('S', id) as s_name", "0 as s_nationkey")
+    stores.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    limit = "spark.sql.maxBroadcastTableSize"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "4m")
+    try:
+        assert adapters.inventory(spark, str(tmp_path)).count() == 40_000 * 4 * 8
+    finally:
+        spark.conf.set(limit, old)
