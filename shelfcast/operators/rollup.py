@@ -1,9 +1,11 @@
 """Stored rollups of a metric view: aggregated once, asked at any coarser grain.
 
 Sums and counts add up from finer groups to coarser ones; distinct counts don't. A rollup therefore
-keeps, beside the sums, which keys a group has seen, as bitmaps: each key has a number, numbers are
-cut into buckets of 32,768, and a group has one bitmap for each bucket it touches. Merging groups is
-a bitwise OR, so the distinct counts stay exact at every grain.
+keeps, beside the sums, which keys a group has seen, as bits: each key has a number, numbers are cut
+into buckets of 32,768 and these into words of 64, and a group has one row for each word it touches.
+Merging groups is a bitwise OR, so the distinct counts stay exact at every grain. However the numbers
+lie, a rollup has no more rows than its source, and all its columns are of fixed width, so Spark
+aggregates them by hash.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from .ranges import range_bucket, range_cuts
 from .ranking import global_rank
 
 BUCKET = "key_bucket"
+WORD = "key_word"
+BITS_IN_WORD = 64
 
 
 @dataclass(frozen=True)
 class Rollup:
-    """``table`` holds one row for each combination of ``by`` and bucket of key numbers.
+    """``table`` holds one row for each combination of ``by``, bucket and word of key numbers.
 
     Rows of several loads may stand side by side: every question aggregates again, so a new day
     is an append of its own rollup (``roll_up(...).table``), and ``compacted`` merges what has piled up.
@@ -40,7 +44,7 @@ class Rollup:
         return replace(self, table=table)
 
     def compacted(self) -> Rollup:
-        """One row for each combination of dimensions and bucket."""
+        """One row for each combination of dimensions, bucket and word."""
         merged = self._merged(self.table, self.by)
         return self.on(merged.select(*self.table.columns))
 
@@ -99,7 +103,7 @@ class Rollup:
         parts = [
             c for term, name in (names or self.terms).items() for c in _merge_parts(term, name, types)
         ]
-        return df.groupBy(*by, BUCKET).agg(*parts)
+        return df.groupBy(*by, BUCKET, WORD).agg(*parts)
 
 
 def roll_up(
@@ -112,11 +116,11 @@ def roll_up(
 
     ``key_number`` is a SQL expression that gives each distinct-counted key an integer of its own:
     different keys must have different numbers, NULL where the key is. Numbers that lie close to
-    each other within a group (keys numbered by date, say) touch few buckets; a bitmap has 4 KB
-    before compression, however few keys it holds. Text keys without such a number get one from
-    ``number_keys``. A rollup holds distinct counts of one key.
+    each other within a group (keys numbered by date, say) share words and make the rollup smaller
+    than its source. Text keys without such a number get one from ``number_keys``. A rollup holds
+    distinct counts of one key.
 
-    Rows are combined before the shuffle, which moves one row for each task, group and bucket.
+    Rows are combined before the shuffle, which moves one row for each task, group and word.
     """
     if view.source is None:
         raise ValueError(f"{view.name} has no source; bind one with on()")
@@ -137,7 +141,8 @@ def roll_up(
     ).withColumn("__number", number)
     parts = [c for term, name in names.items() for c in _first_parts(term, name)]
     bucket = F.bitmap_bucket_number("__number").alias(BUCKET)
-    table = df.groupBy(*by, bucket).agg(*parts)
+    word = F.floor(F.bitmap_bit_position("__number") / BITS_IN_WORD).cast("int").alias(WORD)
+    table = df.groupBy(*by, bucket, word).agg(*parts)
     return Rollup(view, tuple(by), names, table)
 
 
@@ -170,22 +175,22 @@ def buckets_of(keys: int) -> int:
 def _first_parts(term: Term, name: str) -> list[Column]:
     if term.kind != "distinct":
         return term.per_key(name)
-    position = F.bitmap_bit_position("__number")
-    seen = position if term.where is None else F.when(F.expr(term.where), position)
-    return [F.bitmap_construct_agg(seen).alias(name)]
+    bit = F.expr(f"shiftleft(1L, cast(bitmap_bit_position(__number) % {BITS_IN_WORD} as int))")
+    seen = bit if term.where is None else F.when(F.expr(term.where), bit)
+    return [F.bit_or(seen).alias(name)]
 
 
 def _merge_parts(term: Term, name: str, types: Mapping[str, str]) -> list[Column]:
     """Sums keep the type they are stored in, as every further sum of decimals would widen it."""
     if term.kind == "distinct":
-        return [F.bitmap_or_agg(F.col(name)).alias(name)]
+        return [F.bit_or(name).alias(name)]
     columns = [name, f"{name}_n"] if term.kind == "mean" else [name]
     return [F.sum(c).cast(types[c]).alias(c) for c in columns]
 
 
 def _final(term: Term, name: str, types: Mapping[str, str]) -> Column:
     if term.kind == "distinct":
-        return F.coalesce(F.sum(F.bitmap_count(F.col(name))), F.lit(0))
+        return F.coalesce(F.sum(F.bit_count(name)), F.lit(0))
     if term.kind == "mean":
         return F.sum(name) / F.nullif(F.sum(f"{name}_n"), F.lit(0))
     total = F.sum(name).cast(types[name])

@@ -102,3 +102,18 @@ def test_many_keys_by_brute_force(spark):
     rolled = roll_up(view, FINE, ["total_orders", "fill_rate"], NUMBER)
     assert rolled.table.select("key_bucket").distinct().count() in (buckets_of(70001), buckets_of(70001) + 1)
     same(rolled.query(["total_orders", "fill_rate"], by=["order_month"]), view.query(["total_orders", "fill_rate"], by=["order_month"]))
+
+
+def test_scattered_keys_take_no_more_than_their_rows(spark):
+    """Keys that lie far from each other within a day, with numbers at the edges of words and buckets."""
+    df = spark.range(3000).select(
+        F.expr("concat('O', id * 32767 + id % 3)").alias("order_id"), F.expr("date_add(date'2025-01-01', cast(id % 50 as int))").alias("order_date"),
+        F.lit("C").alias("product_category"), F.expr("if(id % 4 = 0, 'Cancelled', 'Delivered')").alias("order_status"),
+    )
+    view = SHIPMENT_METRICS.on(df)
+    rolled = roll_up(view, FINE, ["total_orders", "fill_rate"], NUMBER)
+    assert rolled.table.count() <= 3000
+    assert not {"binary", "string"} & {t for c, t in rolled.table.dtypes if c not in FINE}
+    same(rolled.query(["total_orders", "fill_rate"], by=["order_month"]), view.query(["total_orders", "fill_rate"], by=["order_month"]))
+    plan = rolled.query(["fill_rate"], by=["order_month"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
