@@ -15,7 +15,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import error_pct, is_weekday, noise_fraction, noise_int, padded_key
+from ..functions import error_pct, noise_fraction, noise_int, padded_key
 from ..operators.pairing import pair_up, shuffle_width
 from ..operators.ranking import global_rank, range_bucket, range_cuts
 from .contracts import FORECASTS, INVENTORY, SHIPMENTS, conform
@@ -27,7 +27,7 @@ from .sample import (
     sample_products,
     sample_warehouses,
 )
-from .spines import with_dates, year_span
+from .spines import with_dates, with_weekdays, year_span
 
 # Share of pairs kept, id offsets, status shares, model versions by month.
 PAIRS_KEPT_PCT = 52
@@ -108,10 +108,8 @@ def shipments(
     rate = _per_category(
         profiles, lambda p: _in_season(p.order_rate, month, lambda v: F.lit(float(v)))
     )
-    orders = (
-        with_dates(pairs, "order_date", start, end, "day")
-        .where(is_weekday("order_date"))
-        .where(noise_fraction(seed, "select_noise", *keys) < rate)
+    orders = with_weekdays(pairs, "order_date", start, end).where(
+        noise_fraction(seed, "select_noise", *keys) < rate
     )
 
     amount = noise_fraction(seed, "qty_noise", *keys)

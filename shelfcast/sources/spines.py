@@ -28,6 +28,15 @@ def with_dates(
     return df.withColumn(name, F.explode(date_array(start, end, step)))
 
 
+def with_weekdays(df: DataFrame, name: str, start: dt.date, end: dt.date) -> DataFrame:
+    """Every row of ``df`` once per Monday to Friday; the days of a weekend are never made."""
+    week = [start + dt.timedelta(days=i) for i in range(7)]
+    firsts = [day for day in week if day.weekday() < 5 and day <= end]
+    if not firsts:
+        return df.withColumn(name, F.lit(start)).where(F.lit(False))
+    return df.withColumn(name, F.explode(F.concat(*[date_array(day, end, "week") for day in firsts])))
+
+
 def date_spine(
     spark: SparkSession, name: str, start: dt.date, end: dt.date, step: str
 ) -> DataFrame:

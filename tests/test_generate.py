@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from conftest import tuples
+from shelfcast.functions import is_weekday
 from shelfcast.operators.compare import compare
 from shelfcast.sources import generate
 from shelfcast.sources.contracts import CONTRACTS
 from shelfcast.sources.sample import regions_of, sample_products, sample_warehouses
-from shelfcast.sources.spines import year_span
+from shelfcast.sources.spines import with_dates, with_weekdays, year_span
 
 S, I, FC = "shipment_orders", "inventory_levels", "demand_forecasts"
 
@@ -107,3 +108,20 @@ def test_own_dimensions_and_categories(spark):
     made = generate.shipments(products, sample_warehouses(spark), start, end, customers=3)
     quantity = made.agg(F.min("quantity"), F.max("quantity"), F.count_distinct("customer_id")).first()
     assert quantity[0] >= 10 and quantity[1] < 110 and quantity[2] <= 3
+
+
+@pytest.mark.parametrize("first, days", [("2025-01-01", 365), ("2025-01-04", 2), ("2025-01-04", 3), ("2025-01-08", 1)])
+def test_weekdays_are_the_days_but_weekends(spark, first, days):
+    start = dt.date.fromisoformat(first)
+    end = start + dt.timedelta(days=days - 1)
+    got = with_weekdays(spark.range(2), "day", start, end)
+    want = with_dates(spark.range(2), "day", start, end, "day").where(is_weekday("day"))
+    assert got.dtypes == want.dtypes
+    assert sorted(tuples(got)) == sorted(tuples(want))
+
+
+def test_orders_are_never_unfolded_over_weekends(spark):
+    """The days that no order can have are left out before the unfolding, not filtered behind it."""
+    start, end = year_span(1)
+    orders = generate.shipments(sample_products(spark), sample_warehouses(spark), start, end)
+    assert "dayofweek" not in orders._jdf.queryExecution().optimizedPlan().toString()
