@@ -54,7 +54,8 @@ def order_lines(
     lines = parquet_table(spark, sf_dir, "lineitem")
     lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     if part:
-        parts = parquet_table(spark, sf_dir, "part")
+        # by merge: a small compressed file can hold millions of parts, which Spark would broadcast
+        parts = parquet_table(spark, sf_dir, "part").hint("merge")
         lines = lines.join(parts, lines.l_partkey == parts.p_partkey, "left")
     return lines
 

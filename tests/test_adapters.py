@@ -139,3 +139,28 @@ def test_unfolded_parts_are_not_broadcast(spark, tmp_path):
         assert adapters.inventory(spark, str(tmp_path)).count() == 40_000 * 4 * 8
     finally:
         spark.conf.set(limit, old)
+
+
+def test_parts_of_order_lines_are_not_broadcast(spark, tmp_path):
+    """Parts that compress to a file far below the broadcast threshold are too large for the driver."""
+    parts = spark.range(100_000).selectExpr(
+        "id as p_partkey", "'bolt' as p_name", "'B1' as p_brand", "'SMALL' as p_type", "5 as p_size", "1.1D as p_retailprice"
+    )
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(10).selectExpr(
+        "id as o_orderkey", "id as o_custkey", "'O' as o_orderstatus", "timestamp'2001-01-01' as o_orderdate"
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    lines = spark.range(10).selectExpr(
+        "id as l_orderkey", "id * 20000 as l_partkey", "1L as l_suppkey", "1D as l_quantity", "'A' as l_returnflag",
+        "'O' as l_linestatus", "timestamp'2001-01-02' as l_shipdate",
+    )
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    limit = "spark.sql.maxBroadcastTableSize"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "4m")
+    try:
+        got = adapters.shipments(spark, str(tmp_path), ["order_id", "product_category"])
+        # parts 100,000 and above are not there
+        assert sorted(str(r.product_category) for r in got.collect()) == ["None"] * 5 + ["SMALL"] * 5
+    finally:
+        spark.conf.set(limit, old)
