@@ -45,7 +45,8 @@ def global_rank(
     inside = F.row_number().over(Window.partitionBy(lead, bucket).orderBy(*order))
     return (
         laid.withColumn("__inside", inside)
-        .join(offsets, [lead, bucket])
+        # by merge: both sides look alike in size to Spark, so it may broadcast the rows, not the offsets
+        .join(offsets.hint("merge"), [lead, bucket])
         .withColumn(name, F.col("__offset") + F.col("__inside"))
         .drop("__offset", "__inside")
     )

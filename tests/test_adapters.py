@@ -164,3 +164,20 @@ def test_parts_of_order_lines_are_not_broadcast(spark, tmp_path):
         assert sorted(str(r.product_category) for r in got.collect()) == ["None"] * 5 + ["SMALL"] * 5
     finally:
         spark.conf.set(limit, old)
+
+
+def test_numbered_suppliers_are_not_broadcast(spark, tmp_path):
+    """Numbering needs one offset for each range of keys; the suppliers themselves stay off the driver."""
+    parts = spark.range(5).selectExpr(
+        "id as p_partkey", "'bolt' as p_name", "'B1' as p_brand", "'SMALL' as p_type", "5 as p_size", "1.1D as p_retailprice"
+    )
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    stores = spark.range(400_000).selectExpr("id as s_suppkey", "'S' as s_name", "0 as s_nationkey", "0d as s_acctbal")
+    stores.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    limit = "spark.sql.maxBroadcastTableSize"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "4m")
+    try:
+        assert adapters.inventory(spark, str(tmp_path)).count() == 5 * 4 * 8
+    finally:
+        spark.conf.set(limit, old)
