@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one Python step works on at a time; a longer text is a step of its own.
 STEP_BYTES = 4_000_000
+#: Bytes of rows that Spark hands to Python at a time while a table is written. Spark's own limit is 64 MB,
+#: which a task holds several times over: growing buffers outside the JVM's heap, and Python's copy.
+BATCH_BYTES, BATCH_LIMIT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,13 +63,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside hand Python ``BATCH_BYTES`` at a time; the session's limit comes back."""
+    before = spark.conf.get(BATCH_LIMIT)
+    spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_LIMIT, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps neither recompute it nor
     depend on the executors that made it."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/shelfcast-{app}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

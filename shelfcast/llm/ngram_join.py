@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import column, pieces, text_bytes, whole_text, written
+from .common import column, pieces, small_batches, text_bytes, whole_text, written
 from .components import components
 from .shingles import differing_bits, parity_bitmap, shingle_sets, wide_bitmap
 
@@ -38,7 +38,8 @@ SAMPLE_ONE_IN, SAMPLE_COUNT, MOST_FREQUENT = 16, 16, 1 << 18
 #: more rows to an exact join and changes no result.
 FILTER_BITS = 27
 PIVOTS = 3
-_STEP = 1_000_000
+#: Bytes of text that are hashed at a time; NumPy takes about thirty times as much for them.
+_STEP = 250_000
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -97,8 +98,10 @@ def _frequent(docs: DataFrame, key: str, text: str, width: int) -> np.ndarray:
     top = (
         _texts(some, text).mapInArrow(run, "e long, n long")
         .groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_COUNT)
-        .orderBy(F.desc("n"), "e").limit(MOST_FREQUENT).select("e").toPandas()["e"]
+        .orderBy(F.desc("n"), "e").limit(MOST_FREQUENT).select("e")
     )
+    with small_batches(docs.sparkSession):
+        top = top.toPandas()["e"]
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
@@ -147,8 +150,8 @@ def _node_bits(node: str) -> Column:
 
 
 def _sets(docs: DataFrame, text: str, width: int, nodes: DataFrame, arrays: bool) -> DataFrame:
-    """``(node, n, data, wide)`` of the given nodes, from the texts: the sorted array and a wide
-    signature, or the signature of a tile and nothing."""
+    """``(node, n, data, wide)`` of the given nodes, from the texts and written: the sorted array and
+    a wide signature, or the signature of a tile and nothing."""
     wanted = docs.sparkSession.sparkContext.broadcast(
         _bitmap_of(nodes.select(_node_bits("node").alias("h")), "h")
     )
@@ -180,7 +183,10 @@ def _sets(docs: DataFrame, text: str, width: int, nodes: DataFrame, arrays: bool
 
     rows = _texts(docs, text).mapInArrow(run, "node binary, n long, data binary, wide binary")
     exact = rows.join(nodes.select("node").distinct(), "node", "left_semi")
-    return exact.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "data", "wide")])
+    found = exact.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "data", "wide")])
+    found = written(found, "sets" if arrays else "signatures")
+    wanted.destroy()  # else the executors keep every step's bitmap until the driver collects its garbage
+    return found
 
 
 def _compatible(a: Column, b: Column, percent: int) -> Column:
@@ -201,7 +207,7 @@ def _signatures(column_: pa.Array) -> np.ndarray:
 def _confirmed(docs: DataFrame, text: str, width: int, percent: int, pairs: DataFrame) -> DataFrame:
     """``(a, b, overlap)``: the pairs whose exact intersection is large enough."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(_sets(docs, text, width, ends, arrays=True), "sets")
+    sets = _sets(docs, text, width, ends, arrays=True)
     pairs = _wide_pairs(pairs, sets, percent)
     x = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("data").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("data").alias("y"))
@@ -375,7 +381,10 @@ def _shared_leads(docs: DataFrame, key: str, text: str, width: int, percent: int
     shared = written(span.where("lo <> hi").select("e"), "shared")
     wanted = context.broadcast(_bitmap_of(shared, "e"))
     rows = _lead_rows(docs, text, width, percent, frequent, wanted)
-    return written(rows.join(shared, "e", "left_semi").distinct(), "leads")
+    leads = written(rows.join(shared, "e", "left_semi").distinct(), "leads")
+    for held in (frequent, wanted):
+        held.destroy()
+    return leads
 
 
 def jaccard_links(
@@ -387,7 +396,7 @@ def jaccard_links(
     """
     members = written(members_of(docs, key, text, width), "members")
     rows = _shared_leads(docs, key, text, width, percent)
-    signatures = written(_sets(docs, text, width, rows, arrays=False), "signatures")
+    signatures = _sets(docs, text, width, rows, arrays=False)
     pairs = _tile_pairs(rows.withColumn("comp", F.xxhash64("node")), signatures, percent)
     return members, _confirmed(docs, text, width, percent, written(pairs, "pairs"))
 
@@ -406,7 +415,7 @@ def near_duplicate_classes(
     """
     members = written(members_of(docs, key, text, width), "members")
     rows = _shared_leads(docs, key, text, width, percent)
-    signatures = written(_sets(docs, text, width, rows, arrays=False), "signatures")
+    signatures = _sets(docs, text, width, rows, arrays=False)
     near = written(_pivot_pairs(rows, signatures, percent), "pivot_pairs")
     links = written(_confirmed(docs, text, width, percent, near), "pivot_links")
     parts = written(components(links), "parts")

@@ -18,7 +18,7 @@ _CACHE: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     known = _CACHE.get(base)
     if known is None or len(known) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps = np.full(1 << max(18, (n - 1).bit_length()), base, np.uint64)
         steps[0] = 1
         known = np.cumprod(steps, dtype=np.uint64)
         if len(known) <= 1 << 23:  # a longer text's powers aren't kept
