@@ -234,21 +234,19 @@ def mix(
     joined = rows.join(F.broadcast(table), "skey", "left")
     block = _digit(F.col("at"), 0)
 
-    def draw(number: Column, place: Column) -> Column:
+    # places come first: what stands inside the search among the cuts is computed anew for each of them
+    places = F.transform("odd", lambda a, n: n * _CELLS + (block * a) % _CELLS)
+    among = F.array_position(F.get("taken", F.lit(0)), block)
+    place = F.when(among > 0, among - 1).otherwise(F.size(F.get("taken", F.lit(0))))
+    last = F.when(_taken_part(F.col("at")), F.array(F.col("passes") * _CELLS + place))
+
+    def draw(place: Column, number: Column) -> Column:
         shard = F.size(F.filter("cuts", lambda c: c <= place))
         order = F.xxhash64(F.lit(seed + 1), F.col("at"), number)
         return F.struct(number.alias("pass"), shard.alias("shard"), order.alias("place"))
 
-    whole = F.transform("odd", lambda a, n: draw(n, n * _CELLS + (block * a) % _CELLS))
-    among = F.array_position(F.get("taken", F.lit(0)), block)
-    place = F.when(among > 0, among - 1).otherwise(F.size(F.get("taken", F.lit(0))))
-    last = F.col("passes") * _CELLS + place
-    part = F.when(_taken_part(F.col("at")), F.array(draw(F.col("passes"), last)))
-    none = F.filter(whole, lambda _: F.lit(False))
-    return joined.select(
-        "doc", "size", "source_size", "target",
-        F.concat(whole, F.coalesce(part, none)).alias("draws"),
-    )
+    every = F.concat(places, F.coalesce(last, F.array().cast("array<bigint>")))
+    return joined.select("doc", "size", "source_size", "target", F.transform(every, draw).alias("draws"))
 
 
 def hash_of(name: str, seed: int, number: int) -> int:
@@ -261,7 +259,8 @@ def dealt(mixed: DataFrame, shards: int = SHARDS) -> DataFrame:
     Columns of the documents alone. Shards are ranges of partitions, so a shard larger than a
     partition is spread over several, each in random order.
     """
-    rows = mixed.select("doc", F.explode("draws").alias("draw"))
+    # an outer explode: for a plain one Spark computes the draws of each document again, to filter by them
+    rows = mixed.select("doc", F.explode_outer("draws").alias("draw")).where("draw is not null")
     return (
         rows.repartitionByRange("draw.shard", "draw.place")
         .sortWithinPartitions("draw.shard", "draw.place")

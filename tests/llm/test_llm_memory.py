@@ -1,5 +1,8 @@
 """What a task holds at a time does not grow with its partition, and filters go when their step is written."""
 
+import collections
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark import SparkContext
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfcast.llm.common import BATCH_LIMIT, written
+from shelfcast.llm.mixing import dealt, mix
 from shelfcast.llm.ngram_join import jaccard_links, near_duplicate_classes
 
 
@@ -65,3 +69,17 @@ def test_filters_are_gone_when_their_step_is_written(spark, monkeypatch):
             filter_.unpersist()
     assert {r["doc_id"]: r["component_id"] for r in classes.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
     assert links.count() == 1 and members.count() == 4
+
+
+def test_draws_of_a_document_are_computed_once(spark):
+    rows = [(i, f"w{i} " * (i % 9), "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mix(docs, share=0.5, shards=4)
+    out = dealt(mixed, 4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # the search among a source's cuts stands once, and compares them with places that are already there
+    searches = re.findall(r"filter\(cuts#\d+, lambdafunction\(\(lambda \w+#\d+L? <= (\S+)", plan)
+    assert searches == ["lambda"]
+    drawn = {r["doc"]["doc_id"]: len(r["draws"]) for r in mixed.collect()}
+    got = collections.Counter(r["doc_id"] for r in out.collect())
+    assert got == +collections.Counter(drawn) and 0 in drawn.values()
