@@ -111,44 +111,55 @@ def edges(trie: Trie, letters: np.ndarray, begin: int) -> Iterator[tuple[int, np
             yield end, rows[some], found[some]
 
 
-def viterbi(
+def best_paths(
     trie: Trie, scores: np.ndarray, byte_scores: np.ndarray, words: list[bytes], byte_piece: np.ndarray
-) -> list[np.ndarray]:
-    """The best segmentation of each word as piece numbers.
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The best segmentation of each word: for each length of words their positions, how many pieces
+    each has, and the piece numbers one after another.
 
     Ties go to the segmentation whose last piece starts earliest. ``byte_piece`` numbers the single
     bytes, which stand in wherever no better piece does.
     """
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
     for at, letters in by_length(words):
         n, size = letters.shape
-        best = np.full((n, size + 1), -np.inf)
-        best[:, 0] = 0
-        step = np.zeros((n, size + 1), np.int32)  # the piece that ends here
-        back = np.zeros((n, size + 1), np.int32)  # and where it starts
+        # a row for each byte, so that what one step reads and writes lies together
+        best = np.full((size + 1, n), -np.inf)
+        best[0] = 0
+        step = np.zeros((size + 1, n), np.int32)  # the piece that ends here
+        back = np.zeros((size + 1, n), np.int32)  # and where it starts
         for begin in range(size):
-            bytes_ = letters[:, begin]
-            for end, rows, found in [
-                *edges(trie, letters, begin), (begin + 1, np.arange(n), None)
-            ]:
-                if found is None:
-                    value, found = best[:, begin] + byte_scores[bytes_], byte_piece[bytes_]
-                else:
-                    value = best[rows, begin] + scores[found]
-                better = value > best[rows, end]
+            bytes_, ahead = letters[:, begin], best[begin]
+            for end, rows, found in edges(trie, letters, begin):
+                value = ahead[rows] + scores[found]
+                better = value > best[end, rows]
                 rows = rows[better]
-                best[rows, end], step[rows, end], back[rows, end] = value[better], found[better], begin
-        ends = np.full(n, size)
+                best[end, rows], step[end, rows], back[end, rows] = value[better], found[better], begin
+            value = ahead + byte_scores[bytes_]
+            rows = np.flatnonzero(value > best[begin + 1])
+            best[begin + 1, rows], step[begin + 1, rows], back[begin + 1, rows] = (
+                value[rows], byte_piece[bytes_[rows]], begin
+            )
+        live, ends = np.arange(n), np.full(n, size)
         taken = []
-        while (ends > 0).any():
-            live = np.flatnonzero(ends > 0)
+        while len(live):
             line = np.full(n, -1, np.int32)
-            line[live] = step[live, ends[live]]
-            ends[live] = back[live, ends[live]]
+            line[live] = step[ends, live]
+            ends = back[ends, live]
+            live, ends = live[ends > 0], ends[ends > 0]
             taken.append(line)
         table = np.array(taken[::-1]).T
-        for row, word in enumerate(at.tolist()):
-            out[word] = table[row][table[row] >= 0]
+        some = table >= 0
+        yield at, some.sum(axis=1), table[some]
+
+
+def viterbi(
+    trie: Trie, scores: np.ndarray, byte_scores: np.ndarray, words: list[bytes], byte_piece: np.ndarray
+) -> list[np.ndarray]:
+    """``best_paths`` as one array for each word, in the order of the words."""
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+    for at, sizes, found in best_paths(trie, scores, byte_scores, words, byte_piece):
+        for word, path in zip(at.tolist(), np.split(found, np.cumsum(sizes)[:-1]), strict=True):
+            out[word] = path
     return out
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import STEP_BYTES, column, pieces, text_bytes
-from .lattice import MARK, Trie, viterbi
+from .lattice import MARK, Trie, best_paths, viterbi
 from .pieces_file import MODEL, Pieces, read_pieces
 
 _UNIT = re.compile(rb" *[^ ]+| +")
@@ -25,6 +25,39 @@ _UNIT = re.compile(rb" *[^ ]+| +")
 MOST_CACHED = 200_000
 
 
+class Units:
+    """The ids of units that a task has encoded, one after another in one array."""
+
+    def __init__(self) -> None:
+        self.row: dict[bytes, int] = {}
+        self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+        self._new: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, units: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.row.update(zip(units, range(len(self.row), len(self.row) + len(units)), strict=True))
+        self._new.append((sizes, ids))
+
+    def get(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the units in these rows, one after another, and how many each has."""
+        if self._new:
+            sizes, ids = zip(*self._new, strict=True)
+            self._new = []
+            self.sizes = np.concatenate([self.sizes, *sizes])
+            self.ids = np.concatenate([self.ids, *ids])
+            self.begins = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[rows]
+        shift = self.begins[rows] - (np.cumsum(sizes) - sizes)
+        return self.ids[np.repeat(shift, sizes) + np.arange(sizes.sum())], sizes
+
+    def keep(self, units: set[bytes]) -> None:
+        """Forgets all units but these."""
+        rows = {u: row for u in units if (row := self.row.get(u)) is not None}
+        self.ids, self.sizes = self.get(np.fromiter(rows.values(), np.int64, len(rows)))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.row = dict(zip(rows, range(len(rows)), strict=True))
+
+
 @dataclass
 class Encoder:
     """Vocabulary and trie; sent to the tasks once (a few megabytes, as large as the vocabulary)."""
@@ -53,42 +86,38 @@ class Encoder:
             raise ValueError("the model has no byte pieces to fall back to")
         return Encoder(known, Trie.of(known.normal))
 
-    def encode_units(self, units: list[bytes]) -> list[np.ndarray]:
-        """Ids of each unit. A marker character of the text itself is written in byte pieces."""
-        marked, plain = [], []
-        for unit in units:
-            (plain if MARK in unit else marked).append(unit)
+    def encode_units(self, units: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For some units at a time, all once: their positions, how many ids each has, and the ids one
+        after another. A marker character of the text itself is written in byte pieces."""
+        rest = [i for i, unit in enumerate(units) if MARK in unit]
+        by_marker = {i: units[i].split(MARK) for i in rest}
         byte_scores = self.known.scores[self.known.bytes_]
-        found = viterbi(
-            self.trie, self.known.scores, byte_scores, [u.replace(b" ", MARK) for u in marked], self.known.bytes_
-        )
-        out = dict(zip(marked, found, strict=True))
-        for unit in plain:
-            parts = unit.split(MARK)
-            ids = []
-            for i, part in enumerate(parts):
-                if i:
-                    ids.append(self.known.bytes_[list(MARK)])
-                if part:
-                    ids += viterbi(
-                        self.trie, self.known.scores, byte_scores, [part.replace(b" ", MARK)], self.known.bytes_
-                    )
-            out[unit] = np.concatenate(ids)
-        return [out[u] for u in units]
-
-    def encode(self, texts: list[bytes], cache: dict[bytes, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        common = self.trie, self.known.scores, byte_scores
+        # a unit has spaces in front only
+        plain = [b"" if i in by_marker else u.replace(b" ", MARK) for i, u in enumerate(units)]
+        yield from best_paths(*common, plain, self.known.bytes_)
+        for i, parts in by_marker.items():
+            marker = self.known.bytes_[list(MARK)]
+            found = viterbi(*common, [p.replace(b" ", MARK) for p in parts], self.known.bytes_)
+            ids = np.concatenate([x for path in found for x in (marker, path)][1:])
+            yield np.array([i]), np.array([len(ids)]), ids
+
+    def encode(self, texts: list[bytes], cache: Units | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and where each text's begin and end."""
-        cache = {} if cache is None else cache
-        units = [_UNIT.findall(b" " + t) if t else [] for t in texts]
-        new = {u for line in units for u in line if u not in cache}
-        if len(cache) + len(new) > MOST_CACHED:
-            cache.clear()
-            new = {u for line in units for u in line}
-        order = sorted(new)
-        cache.update(zip(order, self.encode_units(order), strict=True))
-        lines = [np.concatenate([cache[u] for u in line]) if line else np.zeros(0, np.int32) for line in units]
-        ends = np.cumsum([0, *map(len, lines)])
-        return np.concatenate([np.zeros(0, np.int32), *lines]), ends
+        cache = Units() if cache is None else cache
+        units, n_units = [], []
+        for text in texts:
+            found = _UNIT.findall(b" " + text) if text else []
+            units += found
+            n_units.append(len(found))
+        distinct = set(units)
+        if len(cache.row) + len(distinct - cache.row.keys()) > MOST_CACHED:
+            cache.keep(distinct)
+        order = list(distinct - cache.row.keys())
+        for at, sizes, ids in self.encode_units(order):
+            cache.add([order[i] for i in at.tolist()], sizes, ids)
+        ids, sizes = cache.get(np.fromiter(map(cache.row.__getitem__, units), np.int64, len(units)))
+        return ids, np.cumsum([0, *sizes])[np.cumsum([0, *n_units])]
 
     def surface(self) -> list[bytes]:
         """The bytes that each id stands for, the marker as a space."""
@@ -119,7 +148,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, text: str = "text", zip
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of_plain(*shared.value)
-        surface, cache = encoder.surface(), {}
+        surface, cache = encoder.surface(), Units()
         is_byte = np.zeros(len(surface) + 1, bool)
         is_byte[encoder.known.bytes_] = True
         for batch in batches:

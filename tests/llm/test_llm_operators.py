@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfcast.llm import sentencepieces
 from shelfcast.llm.common import shared_folder
 from shelfcast.llm.edit_counts import RANKS, Counter, build, edit, edited_counts
 from shelfcast.llm.html_content import extract, main_text
@@ -317,6 +318,23 @@ def test_encoding_round_trip_and_library(spark, tmp_path):
         assert mine.decode(ids).decode() == text
 
 
+def test_a_full_cache_keeps_what_a_batch_uses(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "MOST_CACHED", 5)
+    encoder, cache, seen = Encoder.load(), sentencepieces.Units(), []
+    plain = Encoder.encode_units
+    monkeypatch.setattr(Encoder, "encode_units", lambda self, units: seen.append(sorted(units)) or plain(self, units))
+    batches = [[b"one two", b"", b"three one"], [b"one  two four\xe2\x96\x81", b"two three fives six"], [b"six one one"]]
+    got = [encoder.encode(batch, cache) for batch in batches]
+    # " one" came and stayed, although the second batch did not fit beside the first
+    assert seen[:2] == [[b" one", b" three", b" two"], [b"  two", b" fives", b" four\xe2\x96\x81", b" six"]]
+    assert seen[2] == []
+    for batch, (ids, ends) in zip(batches, got, strict=True):
+        alone = [encoder.encode([text])[0] for text in batch]
+        assert ids.tolist() == [i for path in alone for i in path]
+        assert ends.tolist() == [0, *np.cumsum([len(path) for path in alone])]
+        assert [encoder.decode(path) for path in alone] == batch
+
+
 # --- mixing ---
 
 
