@@ -12,6 +12,7 @@ is never changed.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,8 +27,51 @@ from .pieces_file import MODEL, read_pieces
 #: Rounds of re-estimation, and the part of a count that every piece has in advance.
 ROUNDS, PRIOR = 2, 0.1
 FOLDS, HELD_OUT = 7, 2
-#: Bytes of text whose documents share one block, within which a word is sent once.
-BLOCK_BYTES = 8_000_000
+#: Bytes of text whose documents share one block, within which a word is sent once, and what a document
+#: counts besides its text. A block gathers as many batches as it takes, so that smaller batches do not
+#: make more blocks, each of which sends its own copy of the common words.
+BLOCK_BYTES, ROW_BYTES = 10_000_000, 100
+
+
+class _Block:
+    """Documents of one block: their words as numbers with counts, and the distinct words."""
+
+    def __init__(self) -> None:
+        self.size, self.docs = 0, []
+        self.index: dict[bytes, int] = {}
+        self.train: list[int] = []
+        self.ids, self.counts = array("i"), array("i")
+
+    def add(self, key: object, text: bytes, held_out: bool) -> None:
+        found = Counter(text.lower().split())
+        index, train = self.index, self.train
+        for word in found:
+            if word not in index:
+                index[word] = len(index)
+                train.append(0)
+        mine = [index[w] for w in found]
+        self.ids.extend(mine)
+        self.counts.extend(found.values())
+        if not held_out:
+            for at, n in zip(mine, found.values(), strict=True):
+                train[at] += n
+        self.docs.append(
+            {"key": key, "held_out": held_out, "n_distinct": len(mine), "n_words": sum(found.values())}
+        )
+        self.size += len(text) + ROW_BYTES
+
+    def row(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.record_batch(
+            [
+                pa.array([number], pa.int64()),
+                pa.array([self.docs], kind),
+                pa.array([self.ids.tobytes()], pa.binary()),
+                pa.array([self.counts.tobytes()], pa.binary()),
+                pa.array([list(self.index)], pa.list_(pa.binary())),
+                pa.array([self.train], pa.list_(pa.int64())),
+            ],
+            names=["block", "docs", "ids", "counts", "words", "train"],
+        )
 
 
 def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -43,43 +87,18 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        part = TaskContext.get().partitionId() << 32
+        block = _Block()
         for batch in batches:
-            for piece in pieces(batch, 0, BLOCK_BYTES):
+            for piece in pieces(batch, 0):
                 held = piece.column(2).to_pylist()
-                index: dict[bytes, int] = {}
-                train: list[int] = []
-                ids, counts, sizes, totals = [], [], [], []
-                for data, out in zip(piece.column(0).to_pylist(), held, strict=True):
-                    found = Counter(data.lower().split())
-                    for word in found:
-                        if word not in index:
-                            index[word] = len(index)
-                            train.append(0)
-                    mine = [index[w] for w in found]
-                    ids += mine
-                    counts += found.values()
-                    sizes.append(len(mine))
-                    totals.append(sum(found.values()))
-                    if not out:
-                        for at, n in zip(mine, found.values(), strict=True):
-                            train[at] += n
-                docs_ = [
-                    {"key": k, "held_out": h, "n_distinct": s, "n_words": t}
-                    for k, h, s, t in zip(piece.column(1).to_pylist(), held, sizes, totals, strict=True)
-                ]
-                yield pa.record_batch(
-                    [
-                        pa.array([(part << 32) + number], pa.int64()),
-                        pa.array([docs_], batch_docs),
-                        pa.array([np.array(ids, np.int32).tobytes()], pa.binary()),
-                        pa.array([np.array(counts, np.int32).tobytes()], pa.binary()),
-                        pa.array([list(index)], pa.list_(pa.binary())),
-                        pa.array([train], pa.list_(pa.int64())),
-                    ],
-                    names=["block", "docs", "ids", "counts", "words", "train"],
-                )
-                number += 1
+                for key_, data, out in zip(piece.column(1).to_pylist(), piece.column(0).to_pylist(), held, strict=True):
+                    if block.docs and block.size + len(data) + ROW_BYTES > BLOCK_BYTES:
+                        yield block.row(part, batch_docs)
+                        part, block = part + 1, _Block()
+                    block.add(key_, data, out)
+        if block.docs:
+            yield block.row(part, batch_docs)
 
     batch_docs = pa.list_(
         pa.struct([

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfcast.llm.common import BATCH_LIMIT, written
+from shelfcast.llm.lattice_lm import BLOCK_BYTES, ROW_BYTES, _blocks
 from shelfcast.llm.mixing import dealt, mix
 from shelfcast.llm.ngram_join import jaccard_links, near_duplicate_classes
 
@@ -83,3 +84,14 @@ def test_draws_of_a_document_are_computed_once(spark):
     drawn = {r["doc"]["doc_id"]: len(r["draws"]) for r in mixed.collect()}
     got = collections.Counter(r["doc_id"] for r in out.collect())
     assert got == +collections.Counter(drawn) and 0 in drawn.values()
+
+
+def test_blocks_gather_small_batches(spark, large):
+    docs = large.select(F.monotonically_increasing_id().alias("doc_id"), "text")
+    blocks = written(_blocks(docs, "doc_id", "text"), "blocks").collect()
+    sizes, full = [len(r["docs"]) for r in blocks], BLOCK_BYTES // (8000 + ROW_BYTES)
+    # batches hold 4 MB
+    assert sorted(sizes, reverse=True) == [full] * (3000 // full) + [3000 % full]
+    assert len({r["block"] for r in blocks}) == len(blocks)
+    assert sorted(d["key"] for r in blocks for d in r["docs"]) == list(range(3000))
+    assert all(r["words"] == [b"x" * 8000] and len(r["ids"]) == 4 * n for r, n in zip(blocks, sizes, strict=True))
